@@ -1,12 +1,14 @@
 """Queries and SQL of the operators in this subpackage."""
 
-from arbora.llm import chat, decontaminate, mixing, rules, sharding, urls
+from arbora.llm import chat, decontaminate, mixing, neardup, repeats, rules, sharding, urls
 
 QUERIES = {
     "op1_sharding": sharding.digest,
     "op2_quality_rules": rules.digest,
     "op3_url_filters": urls.digest,
+    "op4_suffix_array_dedup": repeats.digest,
     "op5_decontamination": decontaminate.digest,
+    "op7_near_duplicates": neardup.digest,
     "op8_chat_formatting": chat.digest,
     "op9_mixing": mixing.digest,
 }
