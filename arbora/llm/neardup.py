@@ -3,7 +3,7 @@
 Equal sets become one class. TREES independent trees branch the classes by minwise tokens: at each level a class goes
 to the child named by the token that the level's hash selects from its set, so two sets stay together with a
 probability equal to their similarity. A node of at most LEAF classes, or one at the last level, is compared
-exhaustively on sketches of SKETCH minwise hashes; pairs whose estimate lies within four deviations of the threshold
+exhaustively on sketches of one byte from each of SKETCH minwise hashes; pairs whose estimate lies within four deviations of the threshold
 or above are confirmed on the full sets.
 
 Two passes keep the pairs few and lose no link: first the maximum spanning forest of each node of FIRST trees, which is
@@ -32,7 +32,7 @@ from arbora.llm.components import components
 from arbora.llm.shingles import Minwise, common, shingle_sets
 from arbora.staging import stage
 
-THRESHOLD, TREES, LEVELS, LEAF, SKETCH, FIRST = 85, 12, 4, 64, 96, 3
+THRESHOLD, TREES, LEVELS, LEAF, SKETCH, FIRST = 85, 12, 4, 64, 384, 3
 LOOSE = THRESHOLD / 100 - 4 * (THRESHOLD / 100 * (1 - THRESHOLD / 100) / SKETCH) ** 0.5
 
 
@@ -48,7 +48,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = minwise(s)
             fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             tokens.append(m[: TREES * LEVELS].view(np.int64))
-            sketch.append((m >> np.uint64(32)).astype(np.uint32).tobytes())
+            sketch.append((m >> np.uint64(32)).astype(np.uint8).tobytes())
         cols = [b.column("doc_id"), b.column("key"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", "fp", "tokens", "sketch"])
 
@@ -124,7 +124,7 @@ def _by_group(pick):
             if len(held) > 1:
                 rows = list({r[1]: r for r in held}.values())
                 if len(rows) > 1:
-                    sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(len(rows), -1)
+                    sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
                     pairs.extend(pick({"fp": [r[1] for r in rows], "sketch": sketch, "comp": [r[3] for r in rows]}))
 
         def flush() -> pa.RecordBatch:

@@ -1,6 +1,6 @@
 """Queries and SQL of the operators in this subpackage."""
 
-from arbora.llm import chat, decontaminate, mixing, neardup, repeats, rules, sharding, urls
+from arbora.llm import chat, crf, decontaminate, mixing, neardup, repeats, rules, sharding, toxicity, urls
 
 QUERIES = {
     "op1_sharding": sharding.digest,
@@ -8,9 +8,11 @@ QUERIES = {
     "op3_url_filters": urls.digest,
     "op4_suffix_array_dedup": repeats.digest,
     "op5_decontamination": decontaminate.digest,
+    "op6_toxicity": toxicity.digest,
     "op7_near_duplicates": neardup.digest,
     "op8_chat_formatting": chat.digest,
     "op9_mixing": mixing.digest,
+    "op10_quality_classifier": crf.digest,
 }
 
 ORACLE_SQL = {

@@ -59,8 +59,8 @@ class Minwise:
 
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
         out = np.full(len(self.mul), np.iinfo(np.uint64).max, np.uint64)
-        for i in range(0, len(tokens), 4096):  # bounded memory for very long texts
-            part = (tokens[i : i + 4096, None] ^ self.xor) * self.mul
+        for i in range(0, len(tokens), 256):  # in cache, bounded memory for very long texts
+            part = (tokens[i : i + 256, None] ^ self.xor) * self.mul
             np.minimum(out, part.min(axis=0), out=out)
         return out
 
