@@ -63,7 +63,8 @@ def _leaves(classes: DataFrame) -> DataFrame:
     out = None
     for level in range(LEVELS):
         rows = rows.withColumn("path", F.xxhash64("path", F.col("steps")[level]))
-        sizes = rows.groupBy("tree", "path").agg(F.count("*").alias("size")).filter("size > 1")
+        # staged, so that the join's sides are plain shuffles, which adaptive execution can split
+        sizes = stage(rows.groupBy("tree", "path").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
         rows = rows.join(sizes, ["tree", "path"])
         last = level == LEVELS - 1
         done = rows if last else rows.filter(F.col("size") <= LEAF)

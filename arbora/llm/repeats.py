@@ -11,8 +11,10 @@ truncated at LENGTH, is built by prefix doubling. In suffix order, previous and
 prefixes of at least LENGTH show whether the longest previous factor reaches LENGTH; previous and next larger places show
 the same for later copies.
 
-Anchors with more than CROWD different segments are split: their windows are hashed and counted one by one, in
-proportion to those segments' bytes. No group of copies meets in one task.
+Anchors with more than CROWD different segments are split by content. Equal windows lie equally far before their anchor,
+and all windows of a band of BAND such distances share a core of LENGTH - BAND + 1 bytes; so a crowded segment is cut into
+its bands, and only bands of equal cores go on together, by the same steps. Should more than CROWD different bands share
+a core, their windows are hashed and counted one by one. No group of copies meets in one task.
 
 keep_first: of each repeated string the occurrence in the row of least key (hash of id and text) stays, and of those within
 a row the first; else all go. A null text is empty. Rows equal in id and text are two documents, so that their texts
@@ -31,7 +33,7 @@ from arbora.llm.bytework import BYTE, prefix_sums, range_hash, spread, string_ch
 from arbora.llm.common import row_key, table
 from arbora.staging import discard, stage
 
-LENGTH, ANCHOR, CROWD, BLOCK_BYTES = 200, 64, 512, 1 << 20
+LENGTH, ANCHOR, CROWD, BAND, BLOCK_BYTES = 200, 64, 512, 16, 1 << 20
 REACH = LENGTH - ANCHOR + 1
 _OTHER = spread(BYTE) | np.uint64(1)
 
@@ -157,6 +159,31 @@ def _compare(keep_first: bool):
     return run
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Crowded anchors' segments, cut where the distance to the anchor passes a multiple of BAND; h becomes the hash of
+    anchor, band and core."""
+    for b in batches:
+        out = []
+        for h, c, key, at, piece in zip(*(b.column(x).to_pylist() for x in ("h", "c", "key", "at", "piece"))):
+            data = np.frombuffer(piece, np.uint8)
+            sums, other = prefix_sums(data), prefix_sums(data, _OTHER)
+            begin = np.arange(REACH)
+            grams = range_hash(sums, begin, begin + ANCHOR)
+            anchor = int(np.argmin(grams >> np.uint64(32)))
+            band = (anchor - np.arange(len(data) - LENGTH + 1)) // BAND
+            first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+            n = np.diff(np.r_[first, len(band)])
+            core = anchor - band[first] * BAND
+            cores = range_hash(sums, core, core + LENGTH - BAND + 1)
+            own = range_hash(other, first, first + n - 1 + LENGTH)
+            group = spread(cores + spread(np.uint64(h & (1 << 64) - 1) + band[first].astype(np.uint64)))
+            for g, o, f, k in zip(group.view(np.int64).tolist(), own.view(np.int64).tolist(), first.tolist(), n.tolist()):
+                out.append((g, o, c, key, at + f, k, piece[f : f + k - 1 + LENGTH]))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        names = ["h", "own", "c", "key", "at", "n", "piece"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hash and place of every window of crowded anchors' segments."""
     for b in batches:
@@ -176,28 +203,44 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_ranges(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     """(key, s, e) byte ranges, possibly overlapping, for rows with (key, text)."""
     segs = stage(docs.mapInArrow(_cut, "h long, own long, key long, at int, n int"), "segments")
-    twice = segs.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
+    # staged, so that the join's sides are plain shuffles, which adaptive execution can split
+    twice = stage(segs.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h"), "anchors")
     shared = stage(segs.join(twice, "h"), "shared")
     discard(segs)
-    kinds = stage(
-        shared.groupBy("h", "own").agg(F.count("*").cast("long").alias("c"), F.min(F.struct("key", "at", "n")).alias("first")).select("h", "own", "c", "first.*"), "kinds"
-    )
+    place = F.struct("key", "at", "n")
     end = (F.col("at") + F.col("n") - 1 + LENGTH).cast("int")
-    whole = shared.join(kinds.filter("c > 1").select("h", "own", F.struct("key", "at", "n").alias("first")), ["h", "own"])
-    if keep_first:
-        whole = whole.filter(F.struct("key", "at", "n") != F.col("first"))
+    kinds = shared.groupBy("h", "own").agg(F.count("*").cast("long").alias("c"), F.min(place).alias("first"))
+    kinds = stage(kinds.select("h", "own", "c", "first.*"), "kinds")
+    whole = shared.join(kinds.filter("c > 1").select("h", "own", place.alias("first")), ["h", "own"])
+    whole = whole.filter(place != F.col("first")) if keep_first else whole
     ranges = whole.select("key", F.col("at").alias("s"), end.alias("e"))
 
-    mixed = kinds.groupBy("h").agg(F.count("*").cast("long").alias("m"), F.min("c").alias("least")).filter("m > 1")
-    mixed = mixed if keep_first else mixed.filter("least = 1")
-    edges = kinds.join(mixed.select("h", "m"), "h").groupBy("key").agg(F.collect_list(F.struct("h", "m", "c", "at", "n")).alias("segs"))
+    def mixed(kinds: DataFrame) -> DataFrame:
+        """(h, m) of the groups in which segments must be compared; m: different segments."""
+        groups = kinds.groupBy("h").agg(F.count("*").cast("long").alias("m"), F.min("c").alias("least")).filter("m > 1")
+        return groups.select("h", "m") if keep_first else groups.filter("least = 1").select("h", "m")
+
+    def compared(pieces: DataFrame) -> DataFrame:
+        few = pieces.filter(F.col("m") <= CROWD).select("h", "c", "key", "at", "piece")
+        return few.repartition("h").sortWithinPartitions("h", "key", "at").mapInArrow(_compare(keep_first), "key long, s int, e int")
+
+    edges = kinds.join(mixed(kinds), "h").groupBy("key").agg(F.collect_list(F.struct("h", "m", "c", "at", "n")).alias("segs"))
     cut = docs.join(edges, "key").dropDuplicates(["key"]).select("key", "text", "segs")
     pieces = stage(cut.mapInArrow(_slice, "h long, m long, c long, key long, at int, piece binary"), "pieces")
-    few = pieces.filter(F.col("m") <= CROWD).select("h", "c", "key", "at", "piece").repartition("h").sortWithinPartitions("h", "key", "at")
-    ranges = ranges.unionByName(few.mapInArrow(_compare(keep_first), "key long, s int, e int"))
-
-    many = pieces.filter(F.col("m") > CROWD).select("h", "c", "key", "at", "piece").mapInArrow(_windows, "h long, w long, c long, key long, at int")
-    many = stage(many, "windows")
+    ranges = ranges.unionByName(compared(pieces))
+
+    crowded = pieces.filter(F.col("m") > CROWD).select("h", "c", "key", "at", "piece")
+    bands = stage(crowded.mapInArrow(_bands, "h long, own long, c long, key long, at int, n int, piece binary"), "bands")
+    sums = bands.groupBy("h", "own").agg(F.sum("c").alias("c"), F.min(F.struct("key", "at", "n", "piece")).alias("first"))
+    sums = stage(sums.select("h", "own", "c", "first.*"), "band-kinds")
+    whole = bands.drop("c").join(sums.filter("c > 1").select("h", "own", place.alias("first")), ["h", "own"])
+    whole = whole.filter(place != F.col("first")) if keep_first else whole
+    ranges = ranges.unionByName(whole.select("key", F.col("at").alias("s"), end.alias("e")))
+    rest = sums.join(mixed(sums), "h")
+    ranges = ranges.unionByName(compared(rest))
+
+    many = rest.filter(F.col("m") > CROWD).select("h", "c", "key", "at", "piece")
+    many = stage(many.mapInArrow(_windows, "h long, w long, c long, key long, at int"), "windows")
     again = many.groupBy("h", "w").agg(F.count("*").alias("k"), F.min(F.struct("key", "at")).alias("first")).filter("k > 1").drop("k")
     hit = many.join(again, ["h", "w"])
     hit = hit.filter(F.struct("key", "at") != F.col("first")) if keep_first else hit.filter("c = 1")
