@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm.common import LOWER, UPPER, table
+from arbora.staging import stage
 
 # Fixed values: (host and path prefix, verdict).
 RULES = (
@@ -59,6 +60,7 @@ def _variables(rows: DataFrame, level: int) -> DataFrame:
     seg = F.coalesce(F.get("segs", F.lit(level)), F.lit(""))
     rows = rows.withColumn("seg", seg)
     each = rows.groupBy("host", "node", "seg").agg(F.sum("n").alias("k"))
+    each = stage(each, "segments")
     whole = each.groupBy("host", "node").agg(F.sum("k").alias("total"))
     fixed = each.filter(F.col("k") >= MIN_ROWS).join(whole, ["host", "node"]).filter(F.col("k") >= F.col("total") * MIN_SHARE)
     fixed = fixed.select("host", "node", "seg", F.lit(True).alias("fixed"))
@@ -71,7 +73,7 @@ def templates(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(host, path, label, n) -> the same with `node`, the template over the first `levels` segments."""
     rows = urls.withColumn("segs", F.array_remove(F.split("path", "/"), "")).withColumn("node", F.lit(""))
     for level in range(levels):
-        rows = _variables(rows, level)
+        rows = stage(_variables(rows, level), "urls")  # a level reads its rows thrice: keep the plans apart
     return rows.drop("segs")
 
 
@@ -88,14 +90,14 @@ def purity(rows: DataFrame) -> DataFrame:
     gap = F.abs(F.try_divide("bad", "lab") - rate)
     apart = gap > Z * F.sqrt(F.try_divide(rate * (1 - rate), F.col("lab")))
     both = both.withColumn("apart", F.coalesce((F.col("lab") > 0) & apart, F.lit(False)))
-    both = both.withColumn("template", F.when(F.col("apart"), F.col("node")).otherwise(F.concat("parent", F.lit("/*"))))
+    both = stage(both.withColumn("template", F.when(F.col("apart"), F.col("node")).otherwise(F.concat("parent", F.lit("/*")))), "nodes")
     merged = both.groupBy("host", "template").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
     hosts = both.groupBy("host").agg(F.sum("lab").alias("h_lab"), F.sum("bad").alias("h_bad"))
     base = F.coalesce(hosts.agg((F.sum("h_bad") + 1) / (F.sum("h_lab") + 2)).scalar(), F.lit(0.5))
     scored = merged.join(hosts, "host")
     host_rate = (F.col("h_bad") + PRIOR * base) / (F.col("h_lab") + PRIOR)
     scored = scored.select("host", "template", ((F.col("bad") + PRIOR * host_rate) / (F.col("lab") + PRIOR)).alias("purity"))
-    return both.select("host", "node", "template").join(scored, ["host", "template"])
+    return stage(both.select("host", "node", "template").join(scored, ["host", "template"]), "purity")
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -103,7 +105,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     host, path = F.col("host"), F.col("path")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("rule", rule_for(host, path, rules)).withColumn("label", verdict_of(F.col("rule"), rules))
-    placed = templates(rows.withColumn("n", F.lit(1)))
+    placed = templates(stage(rows.withColumn("n", F.lit(1)), "parsed"))
     judged = placed.join(purity(placed), ["host", "node"])
     own = F.when(F.col("purity") >= threshold, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("label", own).alias("verdict"), "template", "purity")
