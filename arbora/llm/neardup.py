@@ -105,13 +105,21 @@ def _forest(group: dict) -> list[tuple[bytes, bytes]]:
 
 
 def _crossing(group: dict) -> list[tuple[bytes, bytes]]:
-    """Every pair of different components whose estimate is high enough."""
-    fp, comp, sketch = group["fp"], np.array(group["comp"], object), group["sketch"]
+    """Every pair of different components whose estimate is high enough, in the first tree in which the two meet.
+
+    A class's seat in a tree is its leaf and block; block -1 meets all blocks of the leaf.
+    """
+    fp, comp, sketch, tree = group["fp"], np.array(group["comp"], object), group["sketch"], group["tree"]
+    leaf, block = np.zeros((len(fp), TREES), np.int64), np.zeros((len(fp), TREES), np.int64)
+    for i, seats in enumerate(group["seats"]):
+        for s in seats:
+            leaf[i, s["tree"]], block[i, s["tree"]] = s["leaf"], s["block"]
     out = []
     for i in range(len(fp) - 1):
         near = (sketch[i + 1 :] == sketch[i]).mean(axis=1) >= LOOSE
-        for j in np.flatnonzero(near & (comp[i + 1 :] != comp[i])):
-            out.append((fp[i], fp[i + 1 + j]))
+        js = i + 1 + np.flatnonzero(near & (comp[i + 1 :] != comp[i]))
+        meet = (leaf[js] == leaf[i]) & (leaf[i] != 0) & ((block[js] == block[i]) | (block[js] < 0) | (block[i] < 0))
+        out += [(fp[i], fp[j]) for j in js[meet.argmax(axis=1) == tree]] if len(js) else []
     return out
 
 
@@ -126,7 +134,7 @@ def _by_group(pick):
                 rows = list({r[1]: r for r in held}.values())
                 if len(rows) > 1:
                     sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-                    pairs.extend(pick({"fp": [r[1] for r in rows], "sketch": sketch, "comp": [r[3] for r in rows]}))
+                    pairs.extend(pick({"fp": [r[1] for r in rows], "sketch": sketch, "comp": [r[3] for r in rows], "tree": rows[0][4], "seats": [r[5] for r in rows]}))
 
         def flush() -> pa.RecordBatch:
             u, v = [max(p) for p in pairs], [min(p) for p in pairs]
@@ -134,7 +142,7 @@ def _by_group(pick):
             return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("grp", "fp", "sketch", "comp"))):
+            for r in zip(*(b.column(c).to_pylist() for c in ("grp", "fp", "sketch", "comp", "tree", "seats"))):
                 if r[0] != last:
                     close()
                     held, last = [], r[0]
@@ -149,8 +157,8 @@ def _by_group(pick):
 
 
 def _pairs(rows: DataFrame, classes: DataFrame, pick) -> DataFrame:
-    """Distinct pairs (u > v) that pick finds in the blocks of (grp, fp, comp) rows."""
-    full = rows.join(classes.select("fp", "sketch"), "fp").select("grp", "fp", "sketch", "comp")
+    """Distinct pairs (u > v) that pick finds in the blocks of (grp, fp, comp, tree, seats) rows."""
+    full = rows.join(classes.select("fp", "sketch"), "fp").select("grp", "fp", "sketch", "comp", "tree", "seats")
     dealt = full.repartition("grp").sortWithinPartitions("grp")
     return dealt.mapInArrow(_by_group(pick), "u binary, v binary").distinct()
 
@@ -198,7 +206,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = few.filter(F.col("size") > LEAF).groupBy("tree", "path", "size").agg(F.min("fp").alias("fp"))
     seats = few.filter(F.col("size") > LEAF).select("tree", "path", "block").distinct()
     guests = heads.join(seats, ["tree", "path"]).select("tree", "path", "size", "fp", "block")
-    first = _pairs(few.unionByName(guests).select(_group_key(), "fp", F.lit(None).cast("binary").alias("comp")), classes, _forest)
+    none = F.lit(None).cast("binary").alias("comp"), F.lit(None).cast("array<int>").alias("seats")
+    first = _pairs(few.unionByName(guests).select(_group_key(), "fp", "tree", *none), classes, _forest)
     first = stage(first, "pairs")
     links = stage(_confirm(first, texts), "links")
     roots = components(links)
@@ -210,7 +219,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_ = stage(own.join(mixed.select("tree", "path", "major"), ["tree", "path"]).withColumn("block", _block()), "open")
     blocks = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / LEAF).cast("long") - 1)
     visits = open_.filter((F.col("size") > LEAF) & (F.col("comp") != F.col("major"))).withColumn("block", F.explode(blocks))
-    cross = open_.unionByName(visits).select(_group_key(), "fp", "comp")
+    roams = (F.col("size") > LEAF) & (F.col("comp") != F.col("major"))
+    seat = F.struct("tree", F.xxhash64("tree", "path").alias("leaf"), F.when(roams, F.lit(-1).cast("long")).otherwise(F.col("block")).alias("block"))
+    seats = open_.groupBy("fp").agg(F.collect_list(seat).alias("seats"))  # TREES at most
+    cross = open_.unionByName(visits).join(seats, "fp").select(_group_key(), "fp", "comp", "tree", "seats")
     second = _pairs(cross, classes, _crossing).join(first, ["u", "v"], "left_anti")
     more = stage(_confirm(second, texts), "links")
     roots = components(links.unionByName(more))

@@ -26,7 +26,7 @@ from arbora.llm.common import table
 from arbora.llm.samples import fold, labelled
 
 ORDER, DECAY, SPAN, LANDMARKS, PER_CLASS, FOLDS = 3, 0.75, 7, 112, 1000, 5
-FEATURES, CACHE = 1 << 14, 250_000
+FEATURES, CACHE = 1 << 18, 400_000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _INNER = re.compile(r"[\W_]+")
 _EDGES = ".,;:!?\"'()[]{}<>|#*$%&-_"
@@ -82,22 +82,29 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, found % FEATURES, (weight / norm[word]).astype(np.float32)
 
 
-def landmark_table(landmarks: list[str]) -> np.ndarray:
-    """FEATURES x landmarks: each landmark's weights."""
-    out = np.zeros((FEATURES, len(landmarks)), np.float32)
+def landmark_table(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each feature, or 0; rows x landmarks): weights of the features that some landmark has."""
     mark, feature, weight = subsequences(landmarks)
-    out[feature, mark] = weight
-    return out
+    known, at = np.unique(feature, return_inverse=True)
+    rows = np.zeros(FEATURES, np.int32)
+    rows[known] = np.arange(1, len(known) + 1)
+    out = np.zeros((len(known) + 1, len(landmarks)), np.float32)
+    out[at + 1, mark] = weight
+    return rows, out
 
 
-def kernel(words: list[str], marks: np.ndarray, batch: int = 400) -> np.ndarray:
+def kernel(words: list[str], marks: tuple[np.ndarray, np.ndarray], batch: int = 400) -> np.ndarray:
     """Normalised kernel of each word with each landmark of the table."""
-    out = np.zeros((len(words), marks.shape[1]), np.float32)
+    rows, weights = marks
+    out = np.zeros((len(words), weights.shape[1]), np.float32)
     for at in range(0, len(words), batch):
         word, feature, weight = subsequences(words[at : at + batch])
-        if len(word):
+        row = rows[feature]
+        shared = np.flatnonzero(row)  # most subsequences of a usual word occur in no landmark
+        if len(shared):
+            word, row, weight = word[shared], row[shared], weight[shared]
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            out[at + word[first]] = np.add.reduceat(marks[feature] * weight[:, None], first, axis=0)
+            out[at + word[first]] = np.add.reduceat(weights[row] * weight[:, None], first, axis=0)
     return out
 
 
@@ -109,7 +116,7 @@ class Model:
     curve: np.ndarray  # logistic weights of the document's features
     _rows: dict[str, int] = field(default_factory=dict, repr=False)
     _table: np.ndarray | None = field(default=None, repr=False)
-    _marks: np.ndarray | None = field(default=None, repr=False)
+    _marks: tuple | None = field(default=None, repr=False)
 
     def __getstate__(self):
         return self.__dict__ | {"_rows": {}, "_table": None, "_marks": None}
@@ -119,13 +126,13 @@ class Model:
         if self._marks is None:
             self._marks = landmark_table(self.landmarks)
         if len(self._rows) > CACHE or self._table is None:
-            self._rows, self._table = {}, np.zeros((0, len(self.landmarks)), np.float32)
+            self._rows, self._table = {}, np.zeros((0, len(self.landmarks)), np.float16)
         new = sorted(words - self._rows.keys())
         if new:
             first = len(self._rows)
             self._rows.update((w, first + i) for i, w in enumerate(new))
             if len(self._table) < first + len(new):
-                grown = np.zeros((first + len(new) + CACHE // 8, len(self.landmarks)), np.float32)
+                grown = np.zeros((first + len(new) + CACHE // 8, len(self.landmarks)), np.float16)
                 grown[:first] = self._table[:first]
                 self._table = grown
             self._table[first : first + len(new)] = kernel(new, self._marks)
@@ -137,7 +144,7 @@ class Model:
         out = np.zeros((len(sents), len(self.landmarks)), np.float32)
         for i in range(0, len(sents), 512):  # a block of sentences at a time
             a, b = starts[i], starts[i + 512] if i + 512 < len(sents) else len(ids)
-            out[i : i + 512] = np.maximum.reduceat(self._table[ids[a:b]], starts[i : i + 512] - a, axis=0)
+            out[i : i + 512] = np.maximum.reduceat(self._table[ids[a:b]].astype(np.float32), starts[i : i + 512] - a, axis=0)
         return out
 
     def describe(self, texts) -> np.ndarray:
