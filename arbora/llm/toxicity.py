@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from arbora.llm.common import table
 from arbora.llm.samples import fold, labelled
 
-ORDER, DECAY, SPAN, LANDMARKS, PER_CLASS, FOLDS = 3, 0.75, 7, 112, 1000, 5
-FEATURES, CACHE = 1 << 18, 400_000
+ORDER, DECAY, SPAN, LANDMARKS, PER_CLASS, FOLDS = 3, 0.75, 7, 96, 1000, 5
+FEATURES, CACHE = 1 << 18, 250_000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _INNER = re.compile(r"[\W_]+")
 _EDGES = ".,;:!?\"'()[]{}<>|#*$%&-_"
@@ -37,15 +37,17 @@ def sentences(text: str | None) -> list[list[str]]:
     out = []
     for part in _SENTENCE.split((text or "").lower()):
         words = [w for w in (x.strip(_EDGES) for x in part.split()) if w]
-        run = ""
-        for w in [*words, "  "]:
-            if len(w) == 1:
-                run += w
-            else:
-                if len(run) >= ORDER:
-                    words.append(run)
-                run = ""
-        words += [x for x in (_INNER.sub("", w) for w in words if not w.isalnum()) if len(x) >= ORDER]
+        if 1 in map(len, words):
+            run = ""
+            for w in [*words, "  "]:
+                if len(w) == 1:
+                    run += w
+                else:
+                    if len(run) >= ORDER:
+                        words.append(run)
+                    run = ""
+        if not "".join(words).isalnum():
+            words += [x for x in (_INNER.sub("", w) for w in words if not w.isalnum()) if len(x) >= ORDER]
         if words:
             out.append(words)
     return out
@@ -126,13 +128,13 @@ class Model:
         if self._marks is None:
             self._marks = landmark_table(self.landmarks)
         if len(self._rows) > CACHE or self._table is None:
-            self._rows, self._table = {}, np.zeros((0, len(self.landmarks)), np.float16)
+            self._rows, self._table = {}, np.zeros((0, len(self.landmarks)), np.float32)
         new = sorted(words - self._rows.keys())
         if new:
             first = len(self._rows)
             self._rows.update((w, first + i) for i, w in enumerate(new))
             if len(self._table) < first + len(new):
-                grown = np.zeros((first + len(new) + CACHE // 8, len(self.landmarks)), np.float16)
+                grown = np.zeros((first + len(new) + CACHE // 8, len(self.landmarks)), np.float32)
                 grown[:first] = self._table[:first]
                 self._table = grown
             self._table[first : first + len(new)] = kernel(new, self._marks)
@@ -144,7 +146,7 @@ class Model:
         out = np.zeros((len(sents), len(self.landmarks)), np.float32)
         for i in range(0, len(sents), 512):  # a block of sentences at a time
             a, b = starts[i], starts[i + 512] if i + 512 < len(sents) else len(ids)
-            out[i : i + 512] = np.maximum.reduceat(self._table[ids[a:b]].astype(np.float32), starts[i : i + 512] - a, axis=0)
+            out[i : i + 512] = np.maximum.reduceat(self._table[ids[a:b]], starts[i : i + 512] - a, axis=0)
         return out
 
     def describe(self, texts) -> np.ndarray:
@@ -195,17 +197,18 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 200, rid
     return w[:-1], float(w[-1])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a logistic curve by Newton steps with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
+    """Weights of a logistic curve by Newton steps with a small ridge; positives weigh as if they were `share` of all."""
+    c = np.where(y > 0, share / (y > 0).mean(), (1 - share) / (y <= 0).mean())
     b, ridge = np.zeros(x.shape[1]), np.diag([0.1] * (x.shape[1] - 1) + [0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        b = b - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(b)), x.T @ (p - (y > 0)) + ridge @ b)
+        b = b - np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(b)), x.T @ (c * (p - (y > 0))) + ridge @ b)
     return b
 
 
-def fit(sample: list[tuple[str, int]], seed: int = 1) -> Model | None:
-    """A model of (text, label) rows; None unless both labels occur."""
+def fit(sample: list[tuple[str, int]], share: float | None = None, seed: int = 1) -> Model | None:
+    """A model of (text, label) rows; None unless both labels occur. share: of label 1 where the sample came from."""
     y = np.array([label for _, label in sample])
     if not (y == 1).any() or not (y == 0).any():
         return None
@@ -253,13 +256,15 @@ def fit(sample: list[tuple[str, int]], seed: int = 1) -> Model | None:
         negative = np.r_[negative, negative[hard]] if len(negative) < 20_000 else negative
     x = model.describe([t for t, _ in sample])
     ok = ~np.isnan(x[:, 0])
-    model.curve = _logistic(x[ok], y[ok])
+    model.curve = _logistic(x[ok], y[ok], share or float((y == 1).mean()))
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, per_class: int = PER_CLASS) -> Model | None:
     """Fit on labelled documents outside fold 0."""
-    return fit(labelled(docs, labels, "toxic", fold(F.col("doc_id"), folds) != 0, per_class))
+    train_rows = fold(F.col("doc_id"), folds) != 0
+    share = labels.filter(train_rows).agg(F.avg("toxic")).first()[0]
+    return fit(labelled(docs, labels, "toxic", train_rows, per_class), share)
 
 
 def score(text: Column, model: Model | None) -> Column:
