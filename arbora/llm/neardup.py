@@ -8,9 +8,10 @@ or above are confirmed on the full sets.
 
 Two passes keep the pairs few and lose no link: first the maximum spanning forest of each node of FIRST trees, which is
 confirmed and turned into components; then, over the nodes of all trees that still hold two components, every pair
-that crosses components. Copies in thousands cost pairs in proportion to their number. A last-level node above
-LEAF is dealt into blocks; classes outside its largest component visit all of its blocks, so none is compared with less
-than all others.
+that crosses components. Those are confirmed where the two classes meet: classes that have a candidate in a block get their
+texts sent there, and only confirmed links leave it, so that rows grow with the seats of classes, not with pairs. A
+last-level node above LEAF is dealt into blocks; classes outside its largest component visit all of its blocks, so none is
+compared with less than all others. A block's own classes are held, visitors stream past them.
 
 Two sets of similarity s meet in a leaf of level d of some tree with probability 1 - (1 - s^d)^TREES: at 0.85 all but
 1e-10 (level 1) to 4e-4 (level 4, crowded nodes only).
@@ -104,23 +105,133 @@ def _forest(group: dict) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def _crossing(group: dict) -> list[tuple[bytes, bytes]]:
-    """Every pair of different components whose estimate is high enough, in the first tree in which the two meet.
+def _meetings(left: list[dict], right: list[dict] | None) -> list[tuple[int, int]]:
+    """(i, j) of candidates, the most similar first: different components, a high estimate, and no earlier tree or block
+    in which the two meet. right: visitors of the block; None: pairs within left.
 
     A class's seat in a tree is its leaf and block; block -1 meets all blocks of the leaf.
     """
-    fp, comp, sketch, tree = group["fp"], np.array(group["comp"], object), group["sketch"], group["tree"]
-    leaf, block = np.zeros((len(fp), TREES), np.int64), np.zeros((len(fp), TREES), np.int64)
-    for i, seats in enumerate(group["seats"]):
-        for s in seats:
-            leaf[i, s["tree"]], block[i, s["tree"]] = s["leaf"], s["block"]
+    within = right is None
+    right = left if within else right
+    (sk, leaf, block), (sk2, leaf2, block2) = _arrays(left), _arrays(right)
+    comp2, own2 = np.array([r["comp"] for r in right], object), np.array([r["own"] for r in right])
     out = []
-    for i in range(len(fp) - 1):
-        near = (sketch[i + 1 :] == sketch[i]).mean(axis=1) >= LOOSE
-        js = i + 1 + np.flatnonzero(near & (comp[i + 1 :] != comp[i]))
-        meet = (leaf[js] == leaf[i]) & (leaf[i] != 0) & ((block[js] == block[i]) | (block[js] < 0) | (block[i] < 0))
-        out += [(fp[i], fp[j]) for j in js[meet.argmax(axis=1) == tree]] if len(js) else []
-    return out
+    for i, r in enumerate(left):
+        sim = (sk2 == sk[i]).mean(axis=1)
+        js = np.flatnonzero((sim >= LOOSE) & (comp2 != r["comp"]))
+        if within:
+            js = js[js > i]
+        elif r["roams"]:
+            js = js[own2[js] > r["own"]]  # two that roam meet at home of the one with the lower block
+        meet = (leaf2[js] == leaf[i]) & (leaf[i] != 0) & ((block2[js] == block[i]) | (block2[js] < 0) | (block[i] < 0))
+        out += [(-sim[j], i, int(j)) for j in js[meet.argmax(axis=1) == r["tree"]]] if len(js) else []
+    return [(i, j) for _, i, j in sorted(out)]
+
+
+def _arrays(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    leaf, block = np.zeros((len(rows), TREES), np.int64), np.zeros((len(rows), TREES), np.int64)
+    for i, r in enumerate(rows):
+        for s in r["seats"]:
+            leaf[i, s["tree"]], block[i, s["tree"]] = s["leaf"], s["block"]
+    return np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1), leaf, block
+
+
+class _Candidates:
+    """Keeps the seats of a block that have a candidate."""
+
+    names = ["grp", "fp", "sketch", "comp", "tree", "seats", "home", "roams", "own"]
+    ddl = "grp long, fp binary, sketch binary, comp binary, tree int, seats array<struct<tree:int,leaf:long,block:long>>, home boolean, roams boolean, own long"
+    seat = pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int64()), ("block", pa.int64())]))
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), seat, pa.bool_(), pa.bool_(), pa.int64()]
+
+    def open(self, home: list[dict]) -> list[tuple]:
+        self.home, self.told = home, set()
+        return self._rows(home, None)
+
+    def visit(self, guests: list[dict]) -> list[tuple]:
+        return self._rows(self.home, guests)
+
+    def _rows(self, left: list[dict], right: list[dict] | None) -> list[tuple]:
+        met = _meetings(left, right)
+        new = sorted(({i for i, _ in met} | ({j for _, j in met} if right is None else set())) - self.told)
+        self.told |= set(new)
+        rows = [left[i] for i in new] + ([right[j] for j in sorted({j for _, j in met})] if right else [])
+        return [tuple(r[c] for c in self.names) for r in rows]
+
+
+class _Links:
+    """Confirms candidates of a block on the full sets; those already joined by confirmed links need no other."""
+
+    names, ddl, kinds = ["u", "v"], "u binary, v binary", [pa.binary(), pa.binary()]
+
+    def open(self, home: list[dict]) -> list[tuple]:
+        self.home, self.root = home, {}
+        self.sets = list(shingle_sets(pa.array([r["text"] for r in home], pa.large_string())))
+        return self._rows(home, self.sets, None)
+
+    def visit(self, guests: list[dict]) -> list[tuple]:
+        return self._rows(guests, list(shingle_sets(pa.array([r["text"] for r in guests], pa.large_string()))), guests)
+
+    def _find(self, x: bytes) -> bytes:
+        while (up := self.root.get(x, x)) != x:
+            self.root[x] = self.root.get(up, up)
+            x = up
+        return x
+
+    def _rows(self, right: list[dict], sets: list[np.ndarray], guests: list[dict] | None) -> list[tuple]:
+        out = []
+        for i, j in _meetings(self.home, guests):
+            a, b = self._find(self.home[i]["comp"]), self._find(right[j]["comp"])
+            if a != b and _reaches(self.sets[i], sets[j]):
+                self.root[a] = b
+                u, v = self.home[i]["fp"], right[j]["fp"]
+                out.append((max(u, v), min(u, v)))
+        return out
+
+
+def _by_block(kind: type, guests_at_once: int = 256):
+    """A mapInArrow function over rows sorted by grp, those at home first. Memory holds a block's home and some guests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, last, home, guests, opened, out = kind(), None, [], [], False, []
+
+        def flush() -> None:
+            nonlocal opened, guests
+            if home and not opened:
+                out.extend(work.open(home))
+                opened = True
+            if home and guests:
+                out.extend(work.visit(guests))
+            guests = []
+
+        def batch() -> pa.RecordBatch:
+            cols = [pa.array([r[i] for r in out], t) for i, t in enumerate(kind.kinds)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cols, kind.names)
+
+        for b in batches:
+            for r in b.to_pylist():
+                if r["grp"] != last:
+                    flush()
+                    last, home, opened = r["grp"], [], False
+                if r["home"]:
+                    home.append(r)
+                else:
+                    guests.append(r)
+                    if len(guests) == guests_at_once:
+                        flush()
+            if out:
+                yield batch()
+        flush()
+        if out:
+            yield batch()
+
+    return run
+
+
+def _run_blocks(rows: DataFrame, kind: type) -> DataFrame:
+    dealt = rows.repartition("grp").sortWithinPartitions("grp", F.desc("home"))
+    return dealt.mapInArrow(_by_block(kind), kind.ddl)
 
 
 def _by_group(pick):
@@ -134,7 +245,7 @@ def _by_group(pick):
                 rows = list({r[1]: r for r in held}.values())
                 if len(rows) > 1:
                     sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-                    pairs.extend(pick({"fp": [r[1] for r in rows], "sketch": sketch, "comp": [r[3] for r in rows], "tree": rows[0][4], "seats": [r[5] for r in rows]}))
+                    pairs.extend(pick({"fp": [r[1] for r in rows], "sketch": sketch}))
 
         def flush() -> pa.RecordBatch:
             u, v = [max(p) for p in pairs], [min(p) for p in pairs]
@@ -142,7 +253,7 @@ def _by_group(pick):
             return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("grp", "fp", "sketch", "comp", "tree", "seats"))):
+            for r in zip(*(b.column(c).to_pylist() for c in ("grp", "fp", "sketch"))):
                 if r[0] != last:
                     close()
                     held, last = [], r[0]
@@ -157,8 +268,8 @@ def _by_group(pick):
 
 
 def _pairs(rows: DataFrame, classes: DataFrame, pick) -> DataFrame:
-    """Distinct pairs (u > v) that pick finds in the blocks of (grp, fp, comp, tree, seats) rows."""
-    full = rows.join(classes.select("fp", "sketch"), "fp").select("grp", "fp", "sketch", "comp", "tree", "seats")
+    """Distinct pairs (u > v) that pick finds in the groups of (grp, fp) rows."""
+    full = rows.join(classes.select("fp", "sketch"), "fp").select("grp", "fp", "sketch")
     dealt = full.repartition("grp").sortWithinPartitions("grp")
     return dealt.mapInArrow(_by_group(pick), "u binary, v binary").distinct()
 
@@ -168,12 +279,19 @@ def _block(spread_key: str = "fp"):
     return F.when(F.col("size") <= LEAF, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(spread_key), blocks))
 
 
+def _reaches(left: np.ndarray, right: np.ndarray) -> bool:
+    """Whether two full sets have the similarity of a link. Sizes alone rule out the hopeless ones."""
+    if 100 * min(len(left), len(right)) < THRESHOLD * max(len(left), len(right)):
+        return False
+    both = common(left, right)
+    return both > 0 and 100 * both >= THRESHOLD * (len(left) + len(right) - both)
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         good = []
         for left, right in zip(shingle_sets(b.column("text_u")), shingle_sets(b.column("text_v"))):
-            both = common(left, right)
-            good.append(100 * both >= THRESHOLD * (len(left) + len(right) - both) and both > 0)
+            good.append(_reaches(left, right))
         keep = pa.array(good, pa.bool_())
         yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], ["u", "v"])
 
@@ -206,25 +324,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = few.filter(F.col("size") > LEAF).groupBy("tree", "path", "size").agg(F.min("fp").alias("fp"))
     seats = few.filter(F.col("size") > LEAF).select("tree", "path", "block").distinct()
     guests = heads.join(seats, ["tree", "path"]).select("tree", "path", "size", "fp", "block")
-    none = F.lit(None).cast("binary").alias("comp"), F.lit(None).cast("array<int>").alias("seats")
-    first = _pairs(few.unionByName(guests).select(_group_key(), "fp", "tree", *none), classes, _forest)
+    first = _pairs(few.unionByName(guests).select(_group_key(), "fp"), classes, _forest)
     first = stage(first, "pairs")
     links = stage(_confirm(first, texts), "links")
     roots = components(links)
 
-    # second pass: pairs across components in every node of every tree
+    # second pass: links across components in every node of every tree, confirmed in the block where two classes meet
     own = leaves.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
     each = own.groupBy("tree", "path", "comp").agg(F.count("*").alias("k"))
     mixed = each.groupBy("tree", "path").agg(F.count("*").alias("n_comp"), F.max_by("comp", F.struct("k", "comp")).alias("major")).filter("n_comp > 1")
-    open_ = stage(own.join(mixed.select("tree", "path", "major"), ["tree", "path"]).withColumn("block", _block()), "open")
-    blocks = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / LEAF).cast("long") - 1)
-    visits = open_.filter((F.col("size") > LEAF) & (F.col("comp") != F.col("major"))).withColumn("block", F.explode(blocks))
     roams = (F.col("size") > LEAF) & (F.col("comp") != F.col("major"))
-    seat = F.struct("tree", F.xxhash64("tree", "path").alias("leaf"), F.when(roams, F.lit(-1).cast("long")).otherwise(F.col("block")).alias("block"))
+    open_ = own.join(mixed.select("tree", "path", "major"), ["tree", "path"]).withColumn("own", _block()).withColumn("roams", roams)
+    open_ = stage(open_.drop("major"), "open")
+    seat = F.struct("tree", F.xxhash64("tree", "path").alias("leaf"), F.when(F.col("roams"), F.lit(-1).cast("long")).otherwise(F.col("own")).alias("block"))
     seats = open_.groupBy("fp").agg(F.collect_list(seat).alias("seats"))  # TREES at most
-    cross = open_.unionByName(visits).join(seats, "fp").select(_group_key(), "fp", "comp", "tree", "seats")
-    second = _pairs(cross, classes, _crossing).join(first, ["u", "v"], "left_anti")
-    more = stage(_confirm(second, texts), "links")
+    blocks = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / LEAF).cast("long") - 1)
+    visits = open_.filter("roams").withColumn("block", F.explode(blocks)).filter("block <> own").withColumn("home", F.lit(False))
+    cross = open_.withColumn("block", F.col("own")).withColumn("home", F.lit(True)).unionByName(visits)
+    cross = cross.join(seats.join(classes.select("fp", "sketch"), "fp"), "fp").withColumn("grp", _group_key())
+    near = stage(_run_blocks(cross.select(*_Candidates.names), _Candidates), "near")
+    more = stage(_run_blocks(near.join(texts.select("fp", "text"), "fp"), _Links).distinct(), "links")
     roots = components(links.unionByName(more))
 
     named = classes.select("fp", "min_id").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
