@@ -23,7 +23,10 @@ def corpus():
     return rows
 
 
-def test_components_equal_those_of_all_pairs(spark, corpus):
+@pytest.mark.parametrize("leaf", (64, 4))
+def test_components_equal_those_of_all_pairs(spark, corpus, leaf, monkeypatch):
+    """A small leaf makes classes roam through the blocks of crowded nodes."""
+    monkeypatch.setattr(neardup, "LEAF", leaf)
     docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(5)
     got = neardup.near_duplicates(docs)
     rows = sorted((r.doc_id, r.n_shingles, r.component_id, r.doc_id == r.component_id) for r in got.collect())
