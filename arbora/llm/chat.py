@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.llm.common import table
+from arbora.staging import stage
 
 BLOCK, PART = 256, 64
 HASHES = ["h1", "h2", "h3"]
@@ -44,7 +45,7 @@ def prefixes(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     turns = conversations.select(
         "conv_id", "turn", "role", "text", F.floor(F.col("turn") / block).alias("_block"), F.lit(1).cast("long").alias("_one")
     )
-    turns = _running(turns, {"ordinal": "_one"})
+    turns = stage(_running(turns, {"ordinal": "_one"}), "ordinals")
     for h in HASHES:  # 32 bits each: sums over 2^31 turns fit a long
         value = F.xxhash64(F.lit(h), "ordinal", F.col("role").isNull(), "role", F.col("text").isNull(), "text")
         turns = turns.withColumn(f"_v_{h}", F.shiftrightunsigned(value, 32))
@@ -53,7 +54,7 @@ def prefixes(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def collapse(conversations: DataFrame) -> DataFrame:
     """Turns of the maximal conversations, with `ordinal` and `n_turns`."""
-    turns = prefixes(conversations)
+    turns = stage(prefixes(conversations), "prefixes")
     whole = turns.groupBy("conv_id").agg(F.max(F.struct("ordinal", *HASHES)).alias("_end")).select("conv_id", "_end.*")
     ends = whole.groupBy("ordinal", *HASHES).agg(
         F.min("conv_id").alias("first_id"), F.max(F.col("conv_id").isNull()).alias("has_null")
