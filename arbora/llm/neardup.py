@@ -1,6 +1,6 @@
 """Near-duplicate detection by a chosen-path set similarity join on 5-word shingles.
 
-Equal sets become one class. TREES independent trees branch the classes by minwise tokens: at each level a class goes
+Equal sets become one class. A number of independent trees branch the classes by minwise tokens: at each level a class goes
 to the child named by the token that the level's hash selects from its set, so two sets stay together with a
 probability equal to their similarity. A node of at most LEAF classes, or one at the last level, is compared
 exhaustively on sketches of one byte from each of SKETCH minwise hashes; pairs whose estimate lies within four deviations of the threshold
@@ -13,14 +13,16 @@ texts sent there, and only confirmed links leave it, so that rows grow with the
 last-level node above LEAF is dealt into blocks; classes outside its largest component visit all of its blocks, so none is
 compared with less than all others. A block's own classes are held, visitors stream past them.
 
-Two sets of similarity s meet in a leaf of level d of some tree with probability 1 - (1 - s^d)^TREES: at 0.85 all but
-1e-10 (level 1) to 4e-4 (level 4, crowded nodes only).
+The threshold is the caller's, in hundredths; the number of trees and the least estimate follow from it. Two sets of
+similarity s meet in a leaf of level d of some of n trees with probability 1 - (1 - s^d)^n. n is the least that leaves at
+most MISS to the last level (crowded nodes only) at the threshold: 12 trees at 0.85, 17 at 0.80.
 
 A null or wordless text has an empty set and is linked with nothing. Rows that repeat an id are judged by their own
 texts. A null id is never the smallest. Extra columns don't matter; no rows, no result.
 """
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,31 +35,48 @@ from arbora.llm.components import components
 from arbora.llm.shingles import Minwise, common, shingle_sets
 from arbora.staging import stage
 
-THRESHOLD, TREES, LEVELS, LEAF, SKETCH, FIRST = 85, 12, 4, 64, 384, 3
-LOOSE = THRESHOLD / 100 - 4 * (THRESHOLD / 100 * (1 - THRESHOLD / 100) / SKETCH) ** 0.5
+THRESHOLD, LEVELS, LEAF, SKETCH, FIRST, MISS = 85, 4, 64, 384, 3, 2e-4
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    minwise = Minwise(SKETCH)
-    for b in batches:
-        n, fp, tokens, sketch = [], [], [], []
-        for s in shingle_sets(b.column("text")):
-            n.append(len(s))
-            if not len(s):
-                fp.append(None), tokens.append(None), sketch.append(None)
-                continue
-            m = minwise(s)
-            fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            tokens.append(m[: TREES * LEVELS].view(np.int64))
-            sketch.append((m >> np.uint64(32)).astype(np.uint8).tobytes())
-        cols = [b.column("doc_id"), b.column("key"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", "fp", "tokens", "sketch"])
+class _Limits:
+    """What follows from a threshold in hundredths."""
 
+    def __init__(self, threshold: int):
+        if not 0 < threshold <= 100:
+            raise ValueError(f"threshold {threshold} is not in 1 to 100")
+        share = threshold / 100
+        self.threshold = threshold
+        self.loose = share - 4 * (share * (1 - share) / SKETCH) ** 0.5
+        self.trees = max(math.ceil(math.log(MISS) / math.log1p(-(share**LEVELS))), FIRST) if share < 1 else FIRST
 
-def _leaves(classes: DataFrame) -> DataFrame:
+
+def _describe(limits: _Limits):
+    """A mapInArrow function: (doc_id, key, text) -> the row's set size, fingerprint, tokens of all trees and sketch."""
+    steps = limits.trees * LEVELS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        minwise = Minwise(max(SKETCH, steps))
+        for b in batches:
+            n, fp, tokens, sketch = [], [], [], []
+            for s in shingle_sets(b.column("text")):
+                n.append(len(s))
+                if not len(s):
+                    fp.append(None), tokens.append(None), sketch.append(None)
+                    continue
+                m = minwise(s)
+                fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                tokens.append(m[:steps].view(np.int64))
+                sketch.append((m[:SKETCH] >> np.uint64(32)).astype(np.uint8).tobytes())
+            cols = [b.column("doc_id"), b.column("key"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", "fp", "tokens", "sketch"])
+
+    return run
+
+
+def _leaves(classes: DataFrame, trees: int) -> DataFrame:
     """(tree, path, size, fp) of every node that is compared, size being its number of classes."""
     named = F.transform(
-        F.sequence(F.lit(0), F.lit(TREES - 1)),
+        F.sequence(F.lit(0), F.lit(trees - 1)),
         lambda t: F.struct(t.alias("tree"), F.slice("tokens", t * LEVELS + 1, LEVELS).alias("steps")),
     )
     rows = classes.select("fp", F.inline(named)).withColumn("path", F.lit(0).cast("long"))
@@ -81,11 +100,11 @@ def _similar(sketch: np.ndarray) -> np.ndarray:
     return np.stack([(sketch == row).mean(axis=1, dtype=np.float32) for row in sketch])
 
 
-def _forest(group: dict) -> list[tuple[bytes, bytes]]:
+def _forest(group: dict, loose: float) -> list[tuple[bytes, bytes]]:
     """Maximum spanning forest of the estimates."""
     fp, sim = group["fp"], _similar(group["sketch"])
     up, over = np.triu_indices(len(fp), 1)
-    good = sim[up, over] >= LOOSE
+    good = sim[up, over] >= loose
     up, over = up[good], over[good]
     root, out = list(range(len(fp))), []
 
@@ -105,7 +124,7 @@ def _forest(group: dict) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def _meetings(left: list[dict], right: list[dict] | None) -> list[tuple[int, int]]:
+def _meetings(left: list[dict], right: list[dict] | None, limits: _Limits) -> list[tuple[int, int]]:
     """(i, j) of candidates, the most similar first: different components, a high estimate, and no earlier tree or block
     in which the two meet. right: visitors of the block; None: pairs within left.
 
@@ -113,12 +132,12 @@ def _meetings(left: list[dict], right: list[dict] | None) -> list[tuple[int, int
     """
     within = right is None
     right = left if within else right
-    (sk, leaf, block), (sk2, leaf2, block2) = _arrays(left), _arrays(right)
+    (sk, leaf, block), (sk2, leaf2, block2) = _arrays(left, limits.trees), _arrays(right, limits.trees)
     comp2, own2 = np.array([r["comp"] for r in right], object), np.array([r["own"] for r in right])
     out = []
     for i, r in enumerate(left):
         sim = (sk2 == sk[i]).mean(axis=1)
-        js = np.flatnonzero((sim >= LOOSE) & (comp2 != r["comp"]))
+        js = np.flatnonzero((sim >= limits.loose) & (comp2 != r["comp"]))
         if within:
             js = js[js > i]
         elif r["roams"]:
@@ -128,8 +147,8 @@ def _meetings(left: list[dict], right: list[dict] | None) -> list[tuple[int, int
     return [(i, j) for _, i, j in sorted(out)]
 
 
-def _arrays(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    leaf, block = np.zeros((len(rows), TREES), np.int64), np.zeros((len(rows), TREES), np.int64)
+def _arrays(rows: list[dict], trees: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    leaf, block = np.zeros((len(rows), trees), np.int64), np.zeros((len(rows), trees), np.int64)
     for i, r in enumerate(rows):
         for s in r["seats"]:
             leaf[i, s["tree"]], block[i, s["tree"]] = s["leaf"], s["block"]
@@ -144,6 +163,9 @@ class _Candidates:
     seat = pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int64()), ("block", pa.int64())]))
     kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), seat, pa.bool_(), pa.bool_(), pa.int64()]
 
+    def __init__(self, limits: _Limits):
+        self.limits = limits
+
     def open(self, home: list[dict]) -> list[tuple]:
         self.home, self.told = home, set()
         return self._rows(home, None)
@@ -152,7 +174,7 @@ class _Candidates:
         return self._rows(self.home, guests)
 
     def _rows(self, left: list[dict], right: list[dict] | None) -> list[tuple]:
-        met = _meetings(left, right)
+        met = _meetings(left, right, self.limits)
         new = sorted(({i for i, _ in met} | ({j for _, j in met} if right is None else set())) - self.told)
         self.told |= set(new)
         rows = [left[i] for i in new] + ([right[j] for j in sorted({j for _, j in met})] if right else [])
@@ -164,6 +186,9 @@ class _Links:
 
     names, ddl, kinds = ["u", "v"], "u binary, v binary", [pa.binary(), pa.binary()]
 
+    def __init__(self, limits: _Limits):
+        self.limits = limits
+
     def open(self, home: list[dict]) -> list[tuple]:
         self.home, self.root = home, {}
         self.sets = list(shingle_sets(pa.array([r["text"] for r in home], pa.large_string())))
@@ -180,20 +205,20 @@ class _Links:
 
     def _rows(self, right: list[dict], sets: list[np.ndarray], guests: list[dict] | None) -> list[tuple]:
         out = []
-        for i, j in _meetings(self.home, guests):
+        for i, j in _meetings(self.home, guests, self.limits):
             a, b = self._find(self.home[i]["comp"]), self._find(right[j]["comp"])
-            if a != b and _reaches(self.sets[i], sets[j]):
+            if a != b and _reaches(self.sets[i], sets[j], self.limits.threshold):
                 self.root[a] = b
                 u, v = self.home[i]["fp"], right[j]["fp"]
                 out.append((max(u, v), min(u, v)))
         return out
 
 
-def _by_block(kind: type, guests_at_once: int = 256):
+def _by_block(kind: type, limits: _Limits, guests_at_once: int = 256):
     """A mapInArrow function over rows sorted by grp, those at home first. Memory holds a block's home and some guests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work, last, home, guests, opened, out = kind(), None, [], [], False, []
+        work, last, home, guests, opened, out = kind(limits), None, [], [], False, []
 
         def flush() -> None:
             nonlocal opened, guests
@@ -229,13 +254,13 @@ def _by_block(kind: type, guests_at_once: int = 256):
     return run
 
 
-def _run_blocks(rows: DataFrame, kind: type) -> DataFrame:
+def _run_blocks(rows: DataFrame, kind: type, limits: _Limits) -> DataFrame:
     dealt = rows.repartition("grp").sortWithinPartitions("grp", F.desc("home"))
-    return dealt.mapInArrow(_by_block(kind), kind.ddl)
+    return dealt.mapInArrow(_by_block(kind, limits), kind.ddl)
 
 
-def _by_group(pick):
-    """A mapInArrow function over rows sorted by group: pick(group) -> pairs. Groups may span batches."""
+def _by_group(pick, loose: float):
+    """A mapInArrow function over rows sorted by group: pick(group, loose) -> pairs. Groups may span batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last, pairs = [], None, []
@@ -245,7 +270,7 @@ def _by_group(pick):
                 rows = list({r[1]: r for r in held}.values())
                 if len(rows) > 1:
                     sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-                    pairs.extend(pick({"fp": [r[1] for r in rows], "sketch": sketch}))
+                    pairs.extend(pick({"fp": [r[1] for r in rows], "sketch": sketch}, loose))
 
         def flush() -> pa.RecordBatch:
             u, v = [max(p) for p in pairs], [min(p) for p in pairs]
@@ -267,11 +292,11 @@ def _by_group(pick):
     return run
 
 
-def _pairs(rows: DataFrame, classes: DataFrame, pick) -> DataFrame:
+def _pairs(rows: DataFrame, classes: DataFrame, pick, loose: float) -> DataFrame:
     """Distinct pairs (u > v) that pick finds in the groups of (grp, fp) rows."""
     full = rows.join(classes.select("fp", "sketch"), "fp").select("grp", "fp", "sketch")
     dealt = full.repartition("grp").sortWithinPartitions("grp")
-    return dealt.mapInArrow(_by_group(pick), "u binary, v binary").distinct()
+    return dealt.mapInArrow(_by_group(pick, loose), "u binary, v binary").distinct()
 
 
 def _block(spread_key: str = "fp"):
@@ -279,42 +304,46 @@ def _block(spread_key: str = "fp"):
     return F.when(F.col("size") <= LEAF, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(spread_key), blocks))
 
 
-def _reaches(left: np.ndarray, right: np.ndarray) -> bool:
+def _reaches(left: np.ndarray, right: np.ndarray, threshold: int) -> bool:
     """Whether two full sets have the similarity of a link. Sizes alone rule out the hopeless ones."""
-    if 100 * min(len(left), len(right)) < THRESHOLD * max(len(left), len(right)):
+    if 100 * min(len(left), len(right)) < threshold * max(len(left), len(right)):
         return False
     both = common(left, right)
-    return both > 0 and 100 * both >= THRESHOLD * (len(left) + len(right) - both)
+    return both > 0 and 100 * both >= threshold * (len(left) + len(right) - both)
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        good = []
-        for left, right in zip(shingle_sets(b.column("text_u")), shingle_sets(b.column("text_v"))):
-            good.append(_reaches(left, right))
-        keep = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], ["u", "v"])
+def _confirmed(threshold: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for left, right in zip(shingle_sets(b.column("text_u")), shingle_sets(b.column("text_v"))):
+                good.append(_reaches(left, right, threshold))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], ["u", "v"])
+
+    return run
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """The pairs whose full sets reach the threshold. Sizes alone rule out the hopeless ones."""
     u = texts.select(F.col("fp").alias("u"), F.col("n").alias("n_u"), F.col("text").alias("text_u"))
     v = texts.select(F.col("fp").alias("v"), F.col("n").alias("n_v"), F.col("text").alias("text_v"))
     sized = pairs.join(u.select("u", "n_u"), "u").join(v.select("v", "n_v"), "v")
-    sized = sized.filter(100 * F.least("n_u", "n_v") >= THRESHOLD * F.greatest("n_u", "n_v")).select("u", "v")
-    return sized.join(u, "u").join(v, "v").select("u", "v", "text_u", "text_v").mapInArrow(_confirmed, "u binary, v binary")
+    sized = sized.filter(100 * F.least("n_u", "n_v") >= threshold * F.greatest("n_u", "n_v")).select("u", "v")
+    return sized.join(u, "u").join(v, "v").select("u", "v", "text_u", "text_v").mapInArrow(_confirmed(threshold), "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, key (row key), n_shingles, component_id for each row with (doc_id, text)."""
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, key (row key), n_shingles, component_id for each row with (doc_id, text). threshold: in hundredths."""
+    limits = _Limits(threshold)
     rows = docs.select("doc_id", row_key().alias("key"), "text")
     schema = "doc_id long, key long, n long, fp binary, tokens array<long>, sketch binary"
-    members = stage(rows.mapInArrow(_describe, schema), "sets")
+    members = stage(rows.mapInArrow(_describe(limits), schema), "sets")
     grouped = members.filter("fp is not null").groupBy("fp").agg(
         F.min("doc_id").alias("min_id"), F.min("n").alias("n"), F.min("key").alias("key"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")
     )
     classes = stage(grouped, "classes")
-    leaves = stage(_leaves(classes), "leaves")
+    leaves = stage(_leaves(classes, limits.trees), "leaves")
     wanted = leaves.select("fp").distinct().join(classes.select("fp", "key", "n"), "fp")
     found = rows.select("key", "text").join(wanted, "key").dropDuplicates(["key", "fp"])
     texts = stage(found.select("fp", "n", "text"), "texts")
@@ -324,9 +353,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = few.filter(F.col("size") > LEAF).groupBy("tree", "path", "size").agg(F.min("fp").alias("fp"))
     seats = few.filter(F.col("size") > LEAF).select("tree", "path", "block").distinct()
     guests = heads.join(seats, ["tree", "path"]).select("tree", "path", "size", "fp", "block")
-    first = _pairs(few.unionByName(guests).select(_group_key(), "fp"), classes, _forest)
+    first = _pairs(few.unionByName(guests).select(_group_key(), "fp"), classes, _forest, limits.loose)
     first = stage(first, "pairs")
-    links = stage(_confirm(first, texts), "links")
+    links = stage(_confirm(first, texts, threshold), "links")
     roots = components(links)
 
     # second pass: links across components in every node of every tree, confirmed in the block where two classes meet
@@ -337,13 +366,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_ = own.join(mixed.select("tree", "path", "major"), ["tree", "path"]).withColumn("own", _block()).withColumn("roams", roams)
     open_ = stage(open_.drop("major"), "open")
     seat = F.struct("tree", F.xxhash64("tree", "path").alias("leaf"), F.when(F.col("roams"), F.lit(-1).cast("long")).otherwise(F.col("own")).alias("block"))
-    seats = open_.groupBy("fp").agg(F.collect_list(seat).alias("seats"))  # TREES at most
+    seats = open_.groupBy("fp").agg(F.collect_list(seat).alias("seats"))  # one a tree at most
     blocks = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / LEAF).cast("long") - 1)
     visits = open_.filter("roams").withColumn("block", F.explode(blocks)).filter("block <> own").withColumn("home", F.lit(False))
     cross = open_.withColumn("block", F.col("own")).withColumn("home", F.lit(True)).unionByName(visits)
     cross = cross.join(seats.join(classes.select("fp", "sketch"), "fp"), "fp").withColumn("grp", _group_key())
-    near = stage(_run_blocks(cross.select(*_Candidates.names), _Candidates), "near")
-    more = stage(_run_blocks(near.join(texts.select("fp", "text"), "fp"), _Links).distinct(), "links")
+    near = stage(_run_blocks(cross.select(*_Candidates.names), _Candidates, limits), "near")
+    more = stage(_run_blocks(near.join(texts.select("fp", "text"), "fp"), _Links, limits).distinct(), "links")
     roots = components(links.unionByName(more))
 
     named = classes.select("fp", "min_id").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -362,9 +391,9 @@ def _kept():
     return F.col("doc_id").eqNullSafe(F.col("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each component, with its columns; a row that is there twice stays once."""
-    keys = near_duplicates(docs.select("doc_id", "text")).filter(_kept()).select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
+    keys = near_duplicates(docs.select("doc_id", "text"), threshold).filter(_kept()).select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
     rows = docs.withColumn("_key", row_key())
     kept = rows.join(keys.select("_key").distinct(), "_key", "left_semi")
     return kept.dropDuplicates(["_key"]).drop("_key")

@@ -11,6 +11,9 @@ from arbora.llm import decontaminate, mixing, neardup, sharding, toxicity
 from arbora.llm.common import table
 from arbora.staging import stage
 
+#: Least similarity of near-duplicates, in hundredths. op7's query takes neardup.THRESHOLD.
+NEAR = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string-kernel machine, trained on the table's labels, scores below 0.5."""
@@ -19,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
-    return neardup.keep_one(docs)
+    """One document of each component of near-duplicates, linked by a similarity of NEAR hundredths or more."""
+    return neardup.keep_one(docs, NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,30 @@ def test_one_document_of_each_component_stays_with_its_columns(spark, corpus):
 
 def test_no_rows(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def close():
+    """Pairs with a similarity from 0.80 to 0.849, such as 96 common shingles of 120, and some on either side."""
+    rng = random.Random(8)
+    rows = []
+    for i, k in enumerate((7, 8, 9, 10, 11, 12, 13) * 6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:-k] + [f"x{j}" for j in range(k)]))]
+    return rows
+
+
+@pytest.mark.parametrize("threshold,leaf", ((80, 64), (80, 4), (85, 64)))
+def test_the_threshold_is_the_callers(spark, close, threshold, leaf, monkeypatch):
+    monkeypatch.setattr(neardup, "LEAF", leaf)
+    got = neardup.near_duplicates(spark.createDataFrame(close, "doc_id long, text string"), threshold).collect()
+    want = near_duplicates(close, threshold)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.doc_id == r.component_id) for r in got) == sorted(want)
+    assert len({r[2] for r in near_duplicates(close, 80)}) < len({r[2] for r in near_duplicates(close, 85)})
+
+
+def test_the_pipeline_links_from_080_on(spark, close):
+    import corpus_pipeline
+
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(close, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({r[2] for r in near_duplicates(close, 80)})
