@@ -1,10 +1,14 @@
 """URL filters by a path-template tree, in DataFrame functions alone.
 
 Rules (`host/path-prefix` with allow or block) decide the URLs they fit and label them for the rest. Per host, a tree of
-path segments is grown level by level: a segment that carries too few of its node's URLs is variable and becomes `*`,
-and then literal siblings whose labels don't differ from the node's by a z-test are merged into `*` too. A URL that no
-rule fits gets its template's purity, the share of blocked labels smoothed towards the host's and that towards all
-hosts', and is blocked if it reaches the threshold.
+path segments is grown level by level: a segment that carries too few of its node's URLs is variable and becomes `*`.
+Then branches are merged into `*` from the deepest level up: those whose labels don't differ by a z-test from the pool of
+all branches under the same parent, template by template below them. So /en/* without labels joins /de/* as /*/*. Variable
+segments that do differ are named `+`, apart from the merged ones.
+
+A URL that no rule fits gets its template's purity, the share of blocked labels smoothed towards the host's and that
+towards all hosts'. A template without labels takes the nearest branch above it that has some, or else the host's rate. The
+URL is blocked if the purity has come `threshold` of the way from the share of blocked labels of all hosts to 1.
 
 Hosts of any size: every step is an aggregate with a map-side combine or an equi-join whose other side has one row a
 node, so one host with a third of all rows is split by adaptive execution.
@@ -27,7 +31,7 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-LEVELS, MIN_ROWS, MIN_SHARE, Z, PRIOR, THRESHOLD = 3, 5, 0.02, 1.96, 10.0, 0.9
+LEVELS, MIN_ROWS, MIN_SHARE, Z, PRIOR, THRESHOLD = 3, 5, 0.02, 1.96, 10.0, 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -56,48 +60,72 @@ def verdict_of(rule: Column, rules=RULES) -> Column:
 
 
 def _variables(rows: DataFrame, level: int) -> DataFrame:
-    """Replaces `node` by node/segment, or node/* where the segment carries too few of the node's URLs."""
+    """Adds to `tokens` the next segment, or * where the segment carries too few of the node's URLs."""
     seg = F.coalesce(F.get("segs", F.lit(level)), F.lit(""))
     rows = rows.withColumn("seg", seg)
-    each = rows.groupBy("host", "node", "seg").agg(F.sum("n").alias("k"))
+    each = rows.groupBy("host", "tokens", "seg").agg(F.sum("n").alias("k"))
     each = stage(each, "segments")
-    whole = each.groupBy("host", "node").agg(F.sum("k").alias("total"))
-    fixed = each.filter(F.col("k") >= MIN_ROWS).join(whole, ["host", "node"]).filter(F.col("k") >= F.col("total") * MIN_SHARE)
-    fixed = fixed.select("host", "node", "seg", F.lit(True).alias("fixed"))
-    token = F.when(F.col("seg") == "", "").when(F.col("fixed"), F.col("seg")).otherwise("*")
-    found = rows.join(fixed, ["host", "node", "seg"], "left")
-    return found.withColumn("node", F.when(token == "", F.col("node")).otherwise(F.concat_ws("/", "node", token))).drop("seg", "fixed")
+    whole = each.groupBy("host", "tokens").agg(F.sum("k").alias("total"))
+    fixed = each.filter(F.col("k") >= MIN_ROWS).join(whole, ["host", "tokens"]).filter(F.col("k") >= F.col("total") * MIN_SHARE)
+    fixed = fixed.select("host", "tokens", "seg", F.lit(True).alias("fixed"))
+    token = F.when(F.col("fixed"), F.col("seg")).otherwise("*")
+    found = rows.join(fixed, ["host", "tokens", "seg"], "left")
+    return found.withColumn("tokens", F.when(F.col("seg") == "", F.col("tokens")).otherwise(F.array_append("tokens", token))).drop("seg", "fixed")
 
 
 def templates(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(host, path, label, n) -> the same with `node`, the template over the first `levels` segments."""
-    rows = urls.withColumn("segs", F.array_remove(F.split("path", "/"), "")).withColumn("node", F.lit(""))
+    """(host, path, label, n) -> the same with `tokens`, the node over the first `levels` segments."""
+    rows = urls.withColumn("segs", F.array_remove(F.split("path", "/"), "")).withColumn("tokens", F.array().cast("array<string>"))
     for level in range(levels):
         rows = stage(_variables(rows, level), "urls")  # a level reads its rows thrice: keep the plans apart
     return rows.drop("segs")
 
 
+def _counts() -> list[Column]:
+    return [F.sum("lab").alias("lab"), F.sum("bad").alias("bad")]
+
+
+def merged(nodes: DataFrame) -> DataFrame:
+    """(host, tokens, lab, bad) -> the same with `form`, the node's tokens after its branches were merged bottom-up."""
+    depth = nodes.agg(F.max(F.size("tokens"))).first()[0] or 0
+    nodes = nodes.withColumn("form", F.col("tokens"))
+    for d in range(depth, 0, -1):
+        # the branch at this level: its parent, its token there, and what its templates below have become
+        inside = F.size("tokens") >= d
+        cut = nodes.withColumn("up", F.when(inside, F.slice("tokens", 1, d - 1))).withColumn("token", F.get("tokens", F.lit(d - 1)))
+        cut = cut.withColumn("below", F.when(inside, F.slice("form", F.lit(d + 1), F.size("form"))))
+        each = cut.filter(inside).groupBy("host", "up", "token", "below").agg(*_counts())
+        pool = each.groupBy("host", "up", "below").agg(F.sum("lab").alias("p_lab"), F.sum("bad").alias("p_bad"))
+        rate = F.try_divide("p_bad", "p_lab")
+        gap = F.abs(F.try_divide("bad", "lab") - rate)
+        apart = gap > Z * F.sqrt(F.try_divide(rate * (1 - rate), F.col("lab")))
+        odd = each.filter("lab > 0").join(pool, ["host", "up", "below"]).filter(apart).select("host", "up", "token", F.lit(True).alias("apart")).distinct()
+        own = F.when(F.col("apart"), F.when(F.col("token") == "*", "+").otherwise(F.col("token"))).otherwise("*")
+        form = F.concat(F.slice("form", 1, d - 1), F.array(own), F.col("below"))
+        nodes = cut.join(odd, ["host", "up", "token"], "left").withColumn("form", F.when(inside, form).otherwise(F.col("form")))
+        nodes = stage(nodes.select("host", "tokens", "lab", "bad", "form"), "merged")
+    return nodes
+
+
 def purity(rows: DataFrame) -> DataFrame:
-    """(host, node, template, purity) for each node: merged with its siblings where their labels don't differ."""
-    stats = rows.groupBy("host", "node").agg(
-        F.sum(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0)).alias("lab"),
-        F.sum(F.when(F.col("label") == "block", F.col("n")).otherwise(0)).alias("bad"),
-    )
-    stats = stats.withColumn("parent", F.regexp_extract("node", r"(?s)\A(.*)/[^/]*\z", 1))
-    pool = stats.groupBy("host", "parent").agg(F.sum("lab").alias("p_lab"), F.sum("bad").alias("p_bad"))
-    both = stats.join(pool, ["host", "parent"])
-    rate = F.try_divide("p_bad", "p_lab")
-    gap = F.abs(F.try_divide("bad", "lab") - rate)
-    apart = gap > Z * F.sqrt(F.try_divide(rate * (1 - rate), F.col("lab")))
-    both = both.withColumn("apart", F.coalesce((F.col("lab") > 0) & apart, F.lit(False)))
-    both = stage(both.withColumn("template", F.when(F.col("apart"), F.col("node")).otherwise(F.concat("parent", F.lit("/*")))), "nodes")
-    merged = both.groupBy("host", "template").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
-    hosts = both.groupBy("host").agg(F.sum("lab").alias("h_lab"), F.sum("bad").alias("h_bad"))
+    """(host, tokens, template, purity, base) for each node; base is the share of blocked labels over all hosts."""
+    n = F.col("n")
+    labels = F.sum(F.when(F.col("label").isNotNull(), n).otherwise(0)), F.sum(F.when(F.col("label") == "block", n).otherwise(0))
+    nodes = merged(stage(rows.groupBy("host", "tokens").agg(labels[0].alias("lab"), labels[1].alias("bad")), "nodes"))
+    forms = nodes.groupBy("host", "form").agg(*_counts())
+    ups = forms.withColumn("d", F.explode(F.sequence(F.lit(0), F.size("form")))).withColumn("up", F.expr("slice(form, 1, d)"))
+    ups = stage(ups, "branches")
+    known = ups.groupBy("host", "up").agg(*_counts()).filter((F.col("lab") > 0) | (F.size("up") == 0))
+    nearest = ups.select("host", "form", "d", "up").join(known, ["host", "up"])
+    nearest = nearest.groupBy("host", "form").agg(F.max_by(F.struct("d", "lab", "bad"), "d").alias("near"))
+    hosts = nodes.groupBy("host").agg(F.sum("lab").alias("h_lab"), F.sum("bad").alias("h_bad"))
     base = F.coalesce(hosts.agg((F.sum("h_bad") + 1) / (F.sum("h_lab") + 2)).scalar(), F.lit(0.5))
-    scored = merged.join(hosts, "host")
-    host_rate = (F.col("h_bad") + PRIOR * base) / (F.col("h_lab") + PRIOR)
-    scored = scored.select("host", "template", ((F.col("bad") + PRIOR * host_rate) / (F.col("lab") + PRIOR)).alias("purity"))
-    return stage(both.select("host", "node", "template").join(scored, ["host", "template"]), "purity")
+    scored = nearest.join(hosts, "host").withColumn("base", base)
+    host_rate = (F.col("h_bad") + PRIOR * F.col("base")) / (F.col("h_lab") + PRIOR)
+    own = F.when(F.col("near.d") == 0, host_rate).otherwise((F.col("near.bad") + PRIOR * host_rate) / (F.col("near.lab") + PRIOR))
+    template = F.when(F.size("form") == 0, "").otherwise(F.concat(F.lit("/"), F.array_join("form", "/")))
+    scored = scored.select("host", "form", template.alias("template"), own.alias("purity"), "base")
+    return stage(nodes.select("host", "tokens", "form").join(scored, ["host", "form"]).drop("form"), "purity")
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -106,8 +134,8 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("rule", rule_for(host, path, rules)).withColumn("label", verdict_of(F.col("rule"), rules))
     placed = templates(stage(rows.withColumn("n", F.lit(1)), "parsed"))
-    judged = placed.join(purity(placed), ["host", "node"])
-    own = F.when(F.col("purity") >= threshold, "block").otherwise("allow")
+    judged = placed.join(purity(placed), ["host", "tokens"])
+    own = F.when(F.col("purity") >= F.col("base") + threshold * (1 - F.col("base")), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("label", own).alias("verdict"), "template", "purity")
 
 

@@ -67,6 +67,24 @@ def test_templates_of_a_blocked_host_are_rejected(spark):
     assert [r.verdict for r in got] == ["block"]
 
 
+def test_unlabelled_branches_take_the_purity_of_similar_ones(spark):
+    """x: /en/* joins the blocked /de/*. y: /de/* and /fr/* differ, so /en/* has the host's rate only. z: no labels."""
+    rows = [f"a://x.com/de/{i}" for i in range(40)] + [f"a://x.com/en/{i}" for i in range(20)]
+    rows += [f"a://y.com/{s}/{i}" for s in ("de", "fr", "en") for i in range(40)] + [f"a://z.net/en/{i}" for i in range(20)]
+    got = urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).filter("rule is null")
+    assert {(r.host, r.template, r.verdict) for r in got.collect()} == {("x.com", "/*/*", "block"), ("y.com", "/*/*", "allow"), ("z.net", "/*/*", "allow")}
+
+
+def test_branches_are_alike_only_if_their_templates_are(spark):
+    """Both branches of p are half blocked, but by other templates; those of q agree."""
+    half = {"a/s": 20, "a/t": 0, "b/s": 0, "b/t": 20}
+    rows = [("p", k.split("/"), 20, bad) for k, bad in half.items()] + [("q", [a, b], 20, 20 * (b == "s")) for a in "ab" for b in "st"] + [("q", ["c", "s"], 0, 0)]
+    got = urls.merged(spark.createDataFrame(rows, "host string, tokens array<string>, lab long, bad long")).collect()
+    form = {(r.host, "/".join(r.tokens)): "/".join(r.form) for r in got}
+    assert {form["p", k] for k in half} == set(half)
+    assert {form["q", f"{a}/s"] for a in "ab"} == {"*/s"} and form["q", "a/t"] == "*/t"
+
+
 def test_decontamination(spark, docs):
     items = spark.createDataFrame([(1, "One  two, three"), (2, None), (3, "..."), (4, "Éa b"), (4, "Éa b")], "item_id long, text string")
     more = docs.unionByName(spark.createDataFrame([(8, "z Éa B.", "fr", "c", 1), (9, "z éa b", "fr", "c", 1)], DOCS))
