@@ -1,7 +1,9 @@
 """URL filters by a path-template tree, in DataFrame functions alone.
 
 Rules (`host/path-prefix` with allow or block) decide the URLs they fit and label them for the rest. Per host, a tree of
-path segments is grown level by level: a segment that carries too few of its node's URLs is variable and becomes `*`.
+path segments is grown level by level until no path has a further segment: a segment that carries too few of its node's
+URLs is variable and becomes `*`. A node of fewer than MIN_ROWS URLs, whose further segments are all variable, and one
+whose URLs have all the same path, whose segments are all fixed, are not grown: what is left of the path is one token.
 Then branches are merged into `*` from the deepest level up: those whose labels don't differ by a z-test from the pool of
 all branches under the same parent, template by template below them. So /en/* without labels joins /de/* as /*/*. Variable
 segments that do differ are named `+`, apart from the merged ones.
@@ -31,7 +33,7 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-LEVELS, MIN_ROWS, MIN_SHARE, Z, PRIOR, THRESHOLD = 3, 5, 0.02, 1.96, 10.0, 0.5
+MIN_ROWS, MIN_SHARE, Z, PRIOR, THRESHOLD = 5, 0.02, 1.96, 10.0, 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -59,26 +61,38 @@ def verdict_of(rule: Column, rules=RULES) -> Column:
     return out
 
 
-def _variables(rows: DataFrame, level: int) -> DataFrame:
-    """Adds to `tokens` the next segment, or * where the segment carries too few of the node's URLs."""
-    seg = F.coalesce(F.get("segs", F.lit(level)), F.lit(""))
-    rows = rows.withColumn("seg", seg)
-    each = rows.groupBy("host", "tokens", "seg").agg(F.sum("n").alias("k"))
+def _variables(rows: DataFrame) -> DataFrame:
+    """Moves the first segment of `rest` to `tokens`, as * where the segment carries too few of the node's URLs.
+
+    `rest` is not empty. A node that needs no growing gets all of it as one token.
+    """
+    rows = rows.withColumn("seg", F.col("rest")[0])
+    left = F.array_join("rest", "/")
+    each = rows.groupBy("host", "tokens", "seg").agg(F.sum("n").alias("k"), F.min(left).alias("low"), F.max(left).alias("high"))
     each = stage(each, "segments")
-    whole = each.groupBy("host", "tokens").agg(F.sum("k").alias("total"))
-    fixed = each.filter(F.col("k") >= MIN_ROWS).join(whole, ["host", "tokens"]).filter(F.col("k") >= F.col("total") * MIN_SHARE)
-    fixed = fixed.select("host", "tokens", "seg", F.lit(True).alias("fixed"))
-    token = F.when(F.col("fixed"), F.col("seg")).otherwise("*")
-    found = rows.join(fixed, ["host", "tokens", "seg"], "left")
-    return found.withColumn("tokens", F.when(F.col("seg") == "", F.col("tokens")).otherwise(F.array_append("tokens", token))).drop("seg", "fixed")
-
-
-def templates(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(host, path, label, n) -> the same with `tokens`, the node over the first `levels` segments."""
-    rows = urls.withColumn("segs", F.array_remove(F.split("path", "/"), "")).withColumn("tokens", F.array().cast("array<string>"))
-    for level in range(levels):
-        rows = stage(_variables(rows, level), "urls")  # a level reads its rows thrice: keep the plans apart
-    return rows.drop("segs")
+    whole = each.groupBy("host", "tokens").agg(F.sum("k").alias("total"), (F.min("low") == F.max("high")).alias("same"))
+    whole = stage(whole, "totals")  # so that the join's sides are plain shuffles, which adaptive execution can split
+    fixed = (F.col("k") >= MIN_ROWS) & (F.col("k") >= F.col("total") * MIN_SHARE)
+    few = F.col("total") < MIN_ROWS
+    known = each.join(whole, ["host", "tokens"]).filter(few | fixed)
+    known = known.select("host", "tokens", "seg", fixed.alias("fixed"), (few | F.col("same")).alias("ends"))
+    found = rows.join(known, ["host", "tokens", "seg"], "left")
+    ends, fixed = F.coalesce("ends", F.lit(False)), F.coalesce("fixed", F.lit(False))
+    variable = F.array_join(F.transform("rest", lambda _: F.lit("*")), "/")
+    token = F.when(ends, F.when(fixed, left).otherwise(variable)).otherwise(F.when(fixed, F.col("seg")).otherwise("*"))
+    rest = F.when(ends, F.array().cast("array<string>")).otherwise(F.slice("rest", F.lit(2), F.size("rest")))
+    return found.withColumns({"tokens": F.array_append("tokens", token), "rest": rest}).drop("seg", "fixed", "ends")
+
+
+def templates(urls: DataFrame) -> DataFrame:
+    """(host, path, label, n) -> the same with `tokens`, the node of the whole path."""
+    rows = urls.withColumn("rest", F.array_remove(F.split("path", "/"), "")).withColumn("tokens", F.array().cast("array<string>"))
+    ended = F.size("rest") == 0
+    done, rows = rows.filter(ended), rows.filter(~ended)
+    while not rows.isEmpty():
+        grown = stage(_variables(rows), "urls")  # a level reads its rows twice: keep the plans apart
+        done, rows = done.unionByName(grown.filter(ended)), grown.filter(~ended)
+    return done.drop("rest")
 
 
 def _counts() -> list[Column]:

@@ -75,6 +75,25 @@ def test_unlabelled_branches_take_the_purity_of_similar_ones(spark):
     assert {(r.host, r.template, r.verdict) for r in got.collect()} == {("x.com", "/*/*", "block"), ("y.com", "/*/*", "allow"), ("z.net", "/*/*", "allow")}
 
 
+def test_templates_reach_the_whole_path(spark):
+    """Languages are too many to be fixed; what decides is the fourth segment, or the sixth."""
+    for deep in ("shop/item", "shop/a/b/item"):
+        kinds = [(lang, kind) for lang, kind, n in (("de", "spam", 60), ("fr", "good", 60)) for _ in range(n)]
+        kinds += [(f"l{i}", "spam" if i % 2 else "good") for i in range(6500)]
+        rows = [(i, f"a://x.com/{lang}/{deep}/{kind}/{i}") for i, (lang, kind) in enumerate(kinds)]
+        got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).filter("rule is null")
+        found = {(r.path.split("/")[-2], r.verdict) for r in got.select("path", "verdict").distinct().collect()}
+        assert found == {("spam", "block"), ("good", "allow")}
+
+
+def test_long_paths_end_as_one_token(spark):
+    long_ = "/".join(map(str, range(300)))
+    rows = [(i, f"a://x.com/a/{long_}") for i in range(9)] + [(20, f"a://y.com/{long_}"), (21, "a://y.com"), (22, "a://y.com/b//")]
+    rows = spark.createDataFrame(rows, "page_id long, url string").select("page_id", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"), F.lit(1).alias("n"))
+    got = {(r.host, *r.tokens) for r in urls.templates(rows).collect()}
+    assert got == {("x.com", f"a/{long_}"), ("y.com", "/".join("*" * 300)), ("y.com",), ("y.com", "*")}
+
+
 def test_branches_are_alike_only_if_their_templates_are(spark):
     """Both branches of p are half blocked, but by other templates; those of q agree."""
     half = {"a/s": 20, "a/t": 0, "b/s": 0, "b/t": 20}
