@@ -5,11 +5,12 @@ length it spans in both (at most SPAN), and is normalised; letters that are inse
 break it. It is computed from the words' explicit subsequences, hashed to FEATURES places. Words are cut at white space, case-folded and stripped at the ends; runs of single letters, and words without the
 marks inside them, are read as words too. A
 sentence's feature for a landmark word is the kernel of its best word, mapped by K^-1/2 of the landmarks (Nyström). A
-linear SVM (squared hinge) is trained on sentences: all of a clean document's sentences are clean, of a toxic one the
+linear SVM (squared hinge) is trained on sentences: of the clean documents' sentences CLEAN at random are clean, of a toxic one the
 most suspicious is toxic, chosen anew in each round; sentences with letters inserted into their words are added. A
 document's score is a logistic function of its three worst sentences' margins and the share of bad sentences.
 
-Training reads at most PER_CLASS labelled documents of each class. Whole texts are scored, each on its own, so skew,
+Training reads at most PER_CLASS labelled documents of each class; of their clean sentences the SVM sees CLEAN, SPOILED
+spoiled ones and HARD hard ones a round, so in long documents it misses most. Toxic documents are read whole. Whole texts are scored, each on its own, so skew,
 ties and repeated rows don't matter. A null or empty text scores 0; without labels of both classes all score 0. Extra columns don't matter; no rows, no result.
 """
 
@@ -27,6 +28,9 @@ from arbora.llm.samples import fold, labelled
 
 ORDER, DECAY, SPAN, LANDMARKS, PER_CLASS, FOLDS = 3, 0.75, 7, 112, 1000, 5
 FEATURES, CACHE = 1 << 18, 250_000
+# Sentences that the SVM sees, so that long documents don't outgrow the driver: clean ones at random, spoiled clean ones,
+# and in each round the hardest ones once more as long as there are fewer than MOST.
+CLEAN, SPOILED, HARD, MOST = 10_000, 500, 2_000, 20_000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _INNER = re.compile(r"[\W_]+")
 _EDGES = ".,;:!?\"'()[]{}<>|#*$%&-_"
@@ -236,8 +240,8 @@ def fit(sample: list[tuple[str, int]], share: float | None = None, seed: int = 1
     feats = [model.sentence_features(d) for d in bags]
     worst = lambda s: max((weighed(w) for w in s if w in odds), default=-9.0)
     chosen = [int(np.argmax([worst(s) for s in d])) for d in bags]
-    negative = model.sentence_features([clean[i] for i in rng.permutation(len(clean))[:10_000]])
-    hurt = [[_spoiled(w, rng) for w in s if len(w) >= 4] for s in (clean[i] for i in rng.permutation(len(clean))[:500])]
+    negative = model.sentence_features([clean[i] for i in rng.permutation(len(clean))[:CLEAN]])
+    hurt = [[_spoiled(w, rng) for w in s if len(w) >= 4] for s in (clean[i] for i in rng.permutation(len(clean))[:SPOILED])]
     negative = np.r_[negative, model.sentence_features([s for s in hurt if s])]
     for _ in range(4):
         positive = np.stack([f[k] for f, k in zip(feats, chosen)])
@@ -252,8 +256,8 @@ def fit(sample: list[tuple[str, int]], share: float | None = None, seed: int = 1
         w, model.bias = _svm(x, sign, mass)
         model.weight = root @ w
         chosen = [int(np.argmax(f @ model.weight)) for f in feats]
-        hard = np.argsort(-(negative @ model.weight))[:2_000]
-        negative = np.r_[negative, negative[hard]] if len(negative) < 20_000 else negative
+        hard = np.argsort(-(negative @ model.weight))[:HARD]
+        negative = np.r_[negative, negative[hard]] if len(negative) < MOST else negative
     x = model.describe([t for t, _ in sample])
     ok = ~np.isnan(x[:, 0])
     model.curve = _logistic(x[ok], y[ok], share or float((y == 1).mean()))

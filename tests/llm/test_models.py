@@ -84,3 +84,12 @@ def test_held_out_toxic_documents_are_found(spark):
     bad, y = model.scores([t for t, _ in rows]) >= 0.5, np.array([y for _, y in rows])
     assert (~bad & (y == 1)).sum() <= 26
     assert (bad & (y == 0)).sum() <= 10
+
+
+def test_the_bounds_on_training_sentences_are_named(monkeypatch):
+    train, _ = held_out("toxic", 5, 0)
+    usual = toxicity.fit(train).weight
+    for name in ("CLEAN", "SPOILED", "HARD"):
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, name, 40)
+            assert not np.allclose(toxicity.fit(train).weight, usual), name
