@@ -7,12 +7,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from arbora.functions.hashing import with_file_hash
-from arbora.functions.names import accepts
+from arbora.functions.names import JUNK_PARTS, accepts
 from arbora.functions.sizes import human_size
 from arbora.operators import caches, compare, dedup, emptydirs, junk
 from arbora.plans.actions import plan_duplicates, plan_paths
 from arbora.plans.sinks import apply_plan, failures, remove_dirs
-from arbora.report import compare_report, write_lines
+from arbora.report import check_target, compare_report, write_lines
 from arbora.sources.filetree import files_of, scan_tree, scan_trees
 from arbora.sources.roots import cache_roots, usable_roots
 from arbora.staging import stage
@@ -26,6 +26,7 @@ def _asked(question: str) -> bool:
 
 
 def _compare(spark, args) -> None:
+    check_target(args.out)
     mode = args.hash_mode or ("smart" if args.hash else "off")
     a, b = files_of(scan_tree(spark, args.a, "a")), files_of(scan_tree(spark, args.b, "b"))
     diff = stage(compare.compare_trees(a, b, mode, args.mode, with_file_hash), "diff")
@@ -34,6 +35,7 @@ def _compare(spark, args) -> None:
 
 
 def _dedup(spark, args) -> None:
+    check_target(args.out)
     reference = files_of(scan_tree(spark, args.reference, "reference"))
     entries = scan_trees(spark, args.cleanup, "cleanup")
     if args.mode == "path":
@@ -49,14 +51,15 @@ def _dedup(spark, args) -> None:
     if failed := outcome.filter("not ok").count():
         raise SystemExit(f"{failed} operations failed")
     if not args.keep_empty_dirs:
-        gone = outcome.select(F.col("path").alias("abs")).join(entries, "abs").select("tree", "rel")
+        gone = outcome.select(F.col("path").alias("abs")).join(entries, "abs").select("tree", "root", "rel")
         empty = emptydirs.empty_dirs(entries, gone)
         path = F.when(F.col("dir") == "", F.col("root")).otherwise(F.concat_ws("/", "root", "dir"))
         print(f"{remove_dirs(empty.select(path.alias('path'), 'depth'), confirm=True).filter('ok').count()} directories removed")
 
 
 def _junk(spark, args) -> None:
-    found = stage(junk.find_junk(scan_tree(spark, args.dir)).select(F.col("abs").alias("path")), "junk")
+    check_target(args.out)
+    found = stage(junk.find_junk(scan_tree(spark, args.dir, contains=JUNK_PARTS)).select(F.col("abs").alias("path")), "junk")
     write_lines(found.orderBy("path"), F.col("path"), args.out)
     n = found.count()
     if n and _asked(f"Delete {n} files? [y/N]"):

@@ -31,7 +31,8 @@ def hash_file(path: bytes | str) -> str | None:
 def with_file_hash(files: DataFrame, path: str = "raw_path") -> DataFrame:
     """Add `hash` by reading each file where the task runs; prune rows by size before calling this.
 
-    mapInArrow is a barrier for the optimizer: no inferred filter moves the hashing below a semi-join.
+    Paths are small and would be coalesced into one task, so they are dealt by hash into a fixed number of partitions,
+    which adaptive execution leaves alone. mapInArrow is a barrier for the optimizer: no inferred filter moves the hashing below a semi-join.
     """
     schema = T.StructType([*(f for f in files.schema if f.name != "hash"), T.StructField("hash", T.StringType())])
     keep = [f.name for f in schema][:-1]
@@ -41,4 +42,6 @@ def with_file_hash(files: DataFrame, path: str = "raw_path") -> DataFrame:
             hashes = pa.array([p and hash_file(p) for p in b.column(path).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), hashes], [*keep, "hash"])
 
-    return files.mapInArrow(run, schema)
+    spark = files.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return files.repartition(tasks, F.xxhash64(path)).mapInArrow(run, schema)

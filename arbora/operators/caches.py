@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from arbora.functions.names import is_cache_name
 from arbora.functions.paths import base_name, join_path, outermost_match
 from arbora.functions.sizes import human_size
+from arbora.schema import UNLISTED
 
 
 def _segments() -> Column:
@@ -24,14 +25,15 @@ def cache_match(entries: DataFrame, max_depth: Column | int = 0) -> DataFrame:
 def cache_sizes(entries: DataFrame, max_depth: Column | int = 0) -> DataFrame:
     """(root, match, path, size, n_files): each outermost cache directory with the bytes below it, in one pass.
 
-    A directory without files has 0 bytes. If a size below it is unknown (null for a file) its total is null.
+    A directory without files has 0 bytes. If a size below it is unknown (a file without one, or a directory that can't be
+    listed) its total is null.
     Overlapping roots are not merged.
     """
     found = cache_match(entries, max_depth).filter("match is not null")
     sizes = found.groupBy("root", "match").agg(
         F.coalesce(F.sum(F.when(~F.col("is_dir"), F.col("size"))), F.lit(0)).cast("bigint").alias("_sum"),
         F.count_if(~F.col("is_dir")).alias("n_files"),
-        F.count_if(~F.col("is_dir") & F.col("size").isNull()).alias("_lost"),
+        F.count_if(F.when(F.col("is_dir"), F.col("size").eqNullSafe(UNLISTED)).otherwise(F.col("size").isNull())).alias("_lost"),
     )
     size = F.when(F.col("_lost") == 0, F.col("_sum"))
     return sizes.select("root", "match", join_path(F.col("root"), F.col("match")).alias("path"), size.alias("size"), "n_files")

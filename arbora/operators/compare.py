@@ -5,6 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.staging import stage
+
 MODES = ("off", "smart", "strict")
 REPORTS = ("all", "missing_a", "missing_b")
 
@@ -41,6 +43,22 @@ def only_in(a: DataFrame, b: DataFrame, mode: str = "off", hasher=None) -> DataF
     return alone.select(a.columns).unionByName(rest.select(a.columns))
 
 
+def hashed_once(a: DataFrame, b: DataFrame, mode: str, hasher) -> tuple[DataFrame, DataFrame]:
+    """Both sides listed once and staged, with `hash` where only content can decide: each such file is read once, whichever
+    directions are asked for. Elsewhere the hash is null, and no comparison looks at it."""
+    sides = [stage(d, "files") for d in (a, b)]
+    out = []
+    for mine, other in (sides, sides[::-1]):
+        needed = same_size(mine, other)
+        if mode == "smart":  # either has no partner by path, or may be the content of one that hasn't
+            alone = mine.join(other.select("rel"), "rel", "left_anti")
+            others_alone = other.join(mine.select("rel"), "rel", "left_anti")
+            needed = same_size(alone, other).unionByName(same_size(mine, others_alone)).dropDuplicates(["abs"])
+        hashes = stage(hasher(needed).select("abs", "hash"), "hashes")
+        out.append(mine.drop("hash").join(hashes, "abs", "left").select(*(c for c in mine.columns if c != "hash"), "hash"))
+    return out[0], out[1]
+
+
 def compare_trees(a: DataFrame, b: DataFrame, mode: str = "off", report: str = "all", hasher=None) -> DataFrame:
     """(side, rel): 'a' for what only a has, 'b' for what only b has.
 
@@ -48,6 +66,8 @@ def compare_trees(a: DataFrame, b: DataFrame, mode: str = "off", report: str = "
     """
     if report not in REPORTS:
         raise ValueError(f"report {report!r} is not one of {REPORTS}")
+    if mode != "off" and hasher is not None:
+        (a, b), hasher = hashed_once(a, b, mode, hasher), None
     sides = {"a": (a, b), "b": (b, a)}
     wanted = {"all": "ab", "missing_a": "b", "missing_b": "a"}[report]
     parts = [only_in(*sides[s], mode, hasher).select(F.lit(s).alias("side"), "rel") for s in wanted]

@@ -16,13 +16,14 @@ def directories(entries: DataFrame) -> DataFrame:
 def empty_dirs(entries: DataFrame, removed: DataFrame | None = None, keep_root: bool = False) -> DataFrame:
     """(tree, root, dir, depth): directories below which no entry but directories survives.
 
-    removed: rows (tree, rel) of files that go. Set form of a post-order walk: all directories, less every ancestor
+    removed: rows (tree, root, rel) of files that go; without a root column a path goes from every root. Set form of a post-order walk: all directories, less every ancestor
     of a surviving file; links and special files are files here. The root itself is among them unless keep_root.
     Remove in descending depth.
     """
     files = entries.filter("not is_dir")
     if removed is not None:
-        files = files.join(removed.select("tree", "rel").distinct(), ["tree", "rel"], "left_anti")
+        key = [c for c in ("tree", "root", "rel") if c in removed.columns]
+        files = files.join(removed.select(key).distinct(), key, "left_anti")
     held = files.select("tree", "root", F.explode(ancestor_dirs(F.col("rel"))).alias("dir")).distinct()
     out = directories(entries).join(held, ["tree", "root", "dir"], "left_anti")
     out = out.withColumn("depth", path_depth(F.col("dir")))

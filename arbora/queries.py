@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.functions.names import JUNK_PARTS, is_cache_name
-from arbora.functions.paths import parent_path
+from arbora.functions.ordinals import global_ordinal
+from arbora.functions.paths import parent_path, relative_path
 from arbora.functions.sizes import human_size
 from arbora.operators import caches, compare, dedup, emptydirs, junk
 from arbora.plans.actions import plan_duplicates, plan_paths
@@ -63,6 +64,29 @@ def _empty(spark, sf_dir):
     return emptydirs.empty_dirs(b, gone).select("dir", "depth")
 
 
+def _empty_two_roots(spark, sf_dir):
+    """Both trees as two roots of one cleanup; only files below the second go."""
+    a, b = _trees(spark, sf_dir)
+    gone = dedup.find_duplicates(a, b, "hash").select(F.lit("cleanup").alias("tree"), "root", "rel")
+    return emptydirs.empty_dirs(a.unionByName(b).withColumn("tree", F.lit("cleanup")), gone).select("root", "dir", "depth")
+
+
+def _root_matches(spark, sf_dir):
+    """t1 below a root that is itself a cache directory, t0 below one that isn't."""
+    root = F.when(F.col("tree") == "t1", "/home/user/.cache").otherwise("/srv/package cache")
+    return caches.cache_sizes(catalog(spark, sf_dir).withColumn("root", root)).select("root", "match", "path", "size", "n_files")
+
+
+def _ordered_diff(spark, sf_dir):
+    """The lines of a comparison with their place in the report."""
+    return global_ordinal(compare.compare_trees(*_trees(spark, sf_dir)), ["side", "rel"], "place")
+
+
+def _ordered_dups(spark, sf_dir):
+    """Duplicates with their place in the plan: by group, then by path."""
+    return global_ordinal(_groups(spark, sf_dir).select("group_id", "abs"), ["group_id", "abs"], "place")
+
+
 def _human(spark, sf_dir):
     sizes = catalog(spark, sf_dir).select("size").distinct()
     scaled = sizes.select(F.explode(F.array(*(F.col("size") * F.lit(1024**k).cast("bigint") for k in range(5)))).alias("n"))
@@ -151,6 +175,11 @@ QUERIES = {
     "cache_plan": _cache_plan,
     "cache_roots": lambda s, d: roots_frame(s, cache_roots("linux", HOME)),
     "empty_dirs_after_dedup": _empty,
+    "empty_dirs_two_roots": _empty_two_roots,
+    "cache_root_matches": _root_matches,
+    "compare_order": _ordered_diff,
+    "dup_order": _ordered_dups,
+    "relative_path": lambda s, d: catalog(s, d).select("abs", relative_path(F.col("abs"), F.col("root")).alias("rel")),
     "human_size": _human,
 }
 
@@ -295,6 +324,13 @@ FROM (SELECT group_id, abs AS path, '/moved/' || string_split(abs, '/')[-1] AS d
     "cache_roots": "SELECT * FROM (VALUES ('/tmp', 0), ('/var/tmp', 0), ('/home/user/.cache', 0)) v(root, max_depth)",
     "empty_dirs_after_dedup": f"""SELECT dir, CAST(CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END AS INTEGER) AS depth
 FROM ({_ABOVE.format('b')}) WHERE dir NOT IN (SELECT dir FROM ({_ABOVE.format('(SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.hash = b.hash)) kept')}))""",
+    "empty_dirs_two_roots": f"""SELECT '/data/t1' AS root, dir, CAST(CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END AS INTEGER) AS depth
+FROM ({_ABOVE.format('b')}) WHERE dir NOT IN (SELECT dir FROM ({_ABOVE.format('(SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.hash = b.hash)) kept')}))""",
+    "cache_root_matches": f"""SELECT '/home/user/.cache' AS root, '' AS match, '/home/user/.cache' AS path, CAST(sum(size) AS BIGINT) AS size, count(*) AS n_files FROM b
+UNION ALL SELECT '/srv/package cache', path[10:], '/srv/package cache/' || path[10:], size, n_files FROM ({_cache_sql()}) WHERE starts_with(path, '/data/t0/')""",
+    "compare_order": f"SELECT side, rel, row_number() OVER (ORDER BY side, rel) AS place FROM ({_all_sql('off')})",
+    "dup_order": f"SELECT group_id, abs, row_number() OVER (ORDER BY group_id, abs) AS place FROM ({_GROUPS})",
+    "relative_path": "SELECT abs, rel FROM cat",
     "human_size": f"""SELECT n, {_human_sql('n')} AS text FROM (
 SELECT size * k AS n FROM (SELECT DISTINCT size FROM cat), (SELECT unnest([{', '.join(f'CAST({1024**k} AS BIGINT)' for k in range(5))}]) AS k)
 UNION SELECT unnest([{', '.join(f'CAST({v} AS BIGINT)' for v in TIES)}]))""",

@@ -1,5 +1,7 @@
 """Plain-text reports: ordered lines, printed or written."""
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,19 @@ def compare_report(diff: DataFrame, report: str = "all") -> DataFrame:
     return head.unionByName(diff.select(F.col("side").alias("section"), F.lit(1).alias("rank"), F.col("rel").alias("line")))
 
 
+def check_target(path: str | None) -> None:
+    """Fail before any work if a report can't be written there. The file itself is made afterwards, so a scan never lists it."""
+    folder = os.path.dirname(os.path.abspath(path)) if path else None
+    if folder and (os.path.isdir(path) or not os.access(folder, os.W_OK | os.X_OK)):
+        raise SystemExit(f"can't write {path}")
+
+
 def write_lines(lines: DataFrame, line: Column, path: str | None = None) -> None:
-    """Print in order, a partition at a time, or write to a folder of text files."""
-    out = lines.select(line.alias("value"))
-    if path:
-        out.write.mode("overwrite").text(path)
-    else:
-        for row in out.toLocalIterator():
+    """Print in order, a partition at a time, or write one text file on the driver, replacing it."""
+    rows = lines.select(line.alias("value")).toLocalIterator()
+    if not path:
+        for row in rows:
             print(row[0])
+        return
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(f"{row[0]}\n" for row in rows)

@@ -2,7 +2,10 @@
 
 from pyspark.sql import types as T
 
-#: `hash` is null until it is computed, and stays null for unreadable files.
+#: size of a directory that can't be listed; other directories have a null size
+UNLISTED = -1
+
+#: `size` is null for a file that can't be examined. `hash` is null until it is computed, and stays null for unreadable files.
 FILE_ENTRY = T.StructType(
     [
         T.StructField("tree", T.StringType(), False),

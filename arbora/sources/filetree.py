@@ -1,10 +1,12 @@
 """Directory trees as a Spark data source.
 
 Spark's own binaryFile source hides dotted names and empty files, follows links and never lists directories, so
-trees are walked here. Links are listed as files and not followed; what can't be listed or examined is left out,
-and a missing root gives no rows.
+trees are walked here. Links are listed as files and not followed. A directory that can't be listed has the size
+UNLISTED, a file that can't be examined a null size; what is gone meanwhile is left out, and a missing root gives no rows.
+The name filter `contains` is applied while walking: other files and all directories never become rows.
 """
 
+import json
 import os
 from collections.abc import Iterator
 from functools import reduce
@@ -12,17 +14,18 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from arbora.schema import FILE_ENTRY
+from arbora.schema import FILE_ENTRY, UNLISTED
 
 FORMAT = "arbora-filetree"
+MOST_LEVELS, MOST_TASKS = 6, 4096
 
 
 class Subtree(InputPartition):
-    """One unit of walking: a directory, with or without what lies below its own entries."""
+    """One unit of walking: directories, with or without what lies below their own entries."""
 
-    def __init__(self, path: bytes, deep: bool):
-        super().__init__(path)
-        self.path, self.deep = path, deep
+    def __init__(self, dirs: list[bytes], deep: bool):
+        super().__init__(None)
+        self.dirs, self.deep = dirs, deep
 
 
 class TreeReader(DataSourceReader):
@@ -32,25 +35,32 @@ class TreeReader(DataSourceReader):
         self.root = os.fsencode(os.path.abspath(options["path"]))
         self.tree = options.get("tree", "")
         self.max_depth = int(options.get("maxdepth", options.get("maxDepth", 0)))
-        self.fan_out = int(options.get("fanout", options.get("fanOut", 2)))
+        self.units = int(options.get("units", 64))
+        self.contains = json.loads(options.get("contains", "[]"))
 
     def partitions(self) -> list[Subtree]:
-        """Directories of the first levels are listed one by one, those below in whole subtrees."""
-        level, out = [self.root], []
-        for _ in range(self.fan_out):
-            out += [Subtree(d, False) for d in level]
-            level = [e.path for d in level for e in self._entries(d) if e.is_dir(follow_symlinks=False)]
-        return out + [Subtree(d, True) for d in level]
-
-    def _entries(self, path: bytes) -> list[os.DirEntry]:
+        """Levels are listed here until one has `units` directories; those are dealt out as whole subtrees, to at most MOST_TASKS."""
+        level, own = [self.root] if os.path.isdir(self.root) else [], []
+        for _ in range(MOST_LEVELS):
+            if len(level) >= self.units:
+                break
+            own += level
+            level = [e.path for d in level for e in self._entries(d) or () if e.is_dir(follow_symlinks=False)]
+        deal = lambda dirs, n, deep: [Subtree(dirs[i::n], deep) for i in range(min(n, len(dirs)))]
+        return deal(own, self.units, False) + deal(level, MOST_TASKS, True) or [Subtree([], False)]
+
+    def _entries(self, path: bytes) -> list[os.DirEntry] | None:
+        """Sorted entries; none below the depth limit or of a directory that is gone, None if it can't be listed."""
         depth = 0 if path == self.root else os.path.relpath(path, self.root).count(b"/") + 1
         if self.max_depth and depth >= self.max_depth:
             return []
         try:
             with os.scandir(path) as found:
                 return sorted(found, key=lambda e: e.name)
-        except OSError:
+        except FileNotFoundError:
             return []
+        except OSError:
+            return None
 
     def _row(self, path: bytes, is_dir: bool, size: int | None) -> tuple:
         text = lambda b: b.decode("utf-8", "replace")
@@ -59,20 +69,28 @@ class TreeReader(DataSourceReader):
         name = os.path.basename(path)
         return (self.tree, text(self.root), text(rel), text(path), text(name), is_dir, depth, size, path)
 
+    def _wanted(self, name: bytes) -> bool:
+        return not self.contains or any(part in name.decode("utf-8", "replace") for part in self.contains)
+
     def read(self, partition: Subtree) -> Iterator[tuple]:
-        if partition.path == self.root and os.path.isdir(self.root) and not os.path.islink(self.root):
-            yield self._row(self.root, True, None)
-        todo = [partition.path]
+        todo = list(partition.dirs)
         while todo:
-            for e in self._entries(todo.pop()):
-                try:
-                    is_dir = e.is_dir(follow_symlinks=False)
-                    size = None if is_dir else e.stat(follow_symlinks=False).st_size
-                except OSError:
-                    continue
-                yield self._row(e.path, is_dir, size)
-                if is_dir and partition.deep:
-                    todo.append(e.path)
+            path = todo.pop()
+            entries = self._entries(path)
+            if not self.contains and not (path == self.root and os.path.islink(path)):
+                yield self._row(path, True, UNLISTED if entries is None else None)
+            for e in entries or ():
+                if e.is_dir(follow_symlinks=False):
+                    if partition.deep:
+                        todo.append(e.path)
+                elif self._wanted(e.name):
+                    try:
+                        size = e.stat(follow_symlinks=False).st_size
+                    except FileNotFoundError:
+                        continue
+                    except OSError:
+                        size = None
+                    yield self._row(e.path, False, size)
 
 
 class FileTree(DataSource):
@@ -87,12 +105,16 @@ class FileTree(DataSource):
         return TreeReader(dict(self.options))
 
 
-def scan_tree(spark: SparkSession, root: str, tree: str = "", max_depth: int = 0) -> DataFrame:
-    """Every file and directory of one tree, the root included, as FILE_ENTRY rows."""
+def scan_tree(spark: SparkSession, root: str, tree: str = "", max_depth: int = 0, contains: tuple[str, ...] = ()) -> DataFrame:
+    """Every file and directory of one tree, the root included, as FILE_ENTRY rows.
+
+    contains: only files whose base name holds one of these parts, and no directories.
+    """
     if not root:
         raise ValueError("a root directory is needed")
     spark.dataSource.register(FileTree)
-    return spark.read.format(FORMAT).option("tree", tree).option("maxDepth", str(max_depth)).load(root)
+    reader = spark.read.format(FORMAT).option("tree", tree).option("maxDepth", str(max_depth))
+    return reader.option("contains", json.dumps(contains)).load(root)
 
 
 def scan_trees(spark: SparkSession, roots: list[str], tree: str = "") -> DataFrame:
@@ -101,4 +123,5 @@ def scan_trees(spark: SparkSession, roots: list[str], tree: str = "") -> DataFra
 
 
 def files_of(entries: DataFrame) -> DataFrame:
-    return entries.filter("not is_dir")
+    """Files of known size."""
+    return entries.filter("not is_dir and size is not null")

@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a fresh one of our own only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; where it is unset, a fresh local one in local mode (tests), else an error:
+    executors on other machines would each write a folder of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="arbora-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -39,8 +42,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(staged: DataFrame) -> None:
     """Delete a staged table that no later query reads."""
-    spark = staged.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(staged._arbora_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(staged.sparkSession, staged._arbora_path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all that this application has staged. Results that read staged tables must have been written by then."""
+    _delete(spark, f"{shared_dir(spark)}/arbora/{spark.sparkContext.applicationId}")

@@ -1,5 +1,6 @@
 """Real directory trees: scanning, hashing, plans and sinks."""
 
+import io
 import os
 
 import pytest
@@ -7,12 +8,13 @@ from pyspark.sql import functions as F
 
 from arbora import cli
 from arbora.functions.hashing import hash_file, with_file_hash
-from arbora.functions.names import accepts
+from arbora.functions.names import JUNK_PARTS, accepts
 from arbora.operators import caches, compare, dedup, emptydirs, junk
 from arbora.plans.actions import plan_duplicates, plan_paths
 from arbora.plans.sinks import apply_plan, remove_dirs
 from arbora.report import compare_report
-from arbora.sources.filetree import files_of, scan_tree, scan_trees
+from arbora.schema import FILE_ENTRY, UNLISTED
+from arbora.sources.filetree import TreeReader, files_of, scan_tree, scan_trees
 from arbora.sources.roots import cache_roots
 
 
@@ -106,3 +108,131 @@ def test_hashing_stays_out_of_filters(spark):
     plan = QUERIES["strict_only_a"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line.split("(")[0] and "sha2(" in line]
     assert "text" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
+def test_two_cleanup_roots_keep_their_files_apart(spark, tmp_path):
+    put(tmp_path, {"r/f": "same", "c1/x/f": "same", "c2/x/f": "other"})
+    entries = scan_trees(spark, [str(tmp_path / "c1"), str(tmp_path / "c2")], "c")
+    found = dedup.find_duplicates(files_of(scan_tree(spark, str(tmp_path / "r"))), files_of(entries), "hash", with_file_hash)
+    gone = found.select(F.lit("c").alias("tree"), "root", "rel")
+    assert sorted((os.path.basename(r.root), r.dir) for r in emptydirs.empty_dirs(entries, gone).collect()) == [("c1", ""), ("c1", "x")]
+
+
+def test_files_are_hashed_in_many_tasks_and_once(spark, tmp_path):
+    put(tmp_path, {f"a/{i}": f"{i % 7}" for i in range(400)} | {f"b/{i + 200}": f"{i % 9}" for i in range(400)})
+    a, b = (files_of(scan_tree(spark, str(tmp_path / x))) for x in "ab")
+    parts = with_file_hash(a).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts >= 2 * spark.sparkContext.defaultParallelism
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(files):
+        read.add(files.count())
+        return with_file_hash(files)
+
+    for mode, wanted in (("strict", 800), ("smart", 800)):
+        before = read.value
+        diff = compare.compare_trees(a, b, mode, "all", counting)
+        got = {(r.side, r.rel) for r in diff.collect()}
+        text = {s: {i: str((i - o) % k) for i in range(o, o + 400)} for s, o, k in (("a", 0, 7), ("b", 200, 9))}
+        left = {("a", str(i)) for i, t in text["a"].items() if t not in text["b"].values() and (mode == "strict" or i not in text["b"])}
+        left |= {("b", str(i)) for i, t in text["b"].items() if t not in text["a"].values() and (mode == "strict" or i not in text["a"])}
+        assert got == left
+        assert read.value - before <= wanted
+
+
+def test_directories_that_cannot_be_listed_have_no_known_size(spark, tmp_path, monkeypatch):
+    put(tmp_path, {"pip/a": "123", "pip/locked/b": "45", "go/c": "6"})
+    real = os.scandir
+
+    def scandir(path):
+        if os.path.basename(path) == b"locked":
+            raise PermissionError(path)
+        return real(path)
+
+    monkeypatch.setattr(os, "scandir", scandir)
+    reader = TreeReader({"path": str(tmp_path)})
+    rows = [row for part in reader.partitions() for row in reader.read(part)]
+    assert {r[2]: r[7] for r in rows if r[5]} == {"": None, "pip": None, "pip/locked": UNLISTED, "go": None}
+    sizes = caches.cache_sizes(spark.createDataFrame(rows, FILE_ENTRY))
+    assert {r.match: r.size for r in sizes.collect()} == {"pip": None, "go": 1}
+    total = caches.cache_total(sizes).first()
+    assert (total.n_targets, total.bytes) == (2, 1)
+
+
+def test_a_wide_tree_is_dealt_out_as_subtrees(tmp_path):
+    for i in range(100):
+        (tmp_path / f"d{i}/e").mkdir(parents=True)
+        (tmp_path / f"d{i}/e/f").write_text("x")
+    reader = TreeReader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert len(parts) == 101 and sum(p.deep for p in parts) == 100
+    assert sorted(r[2] for p in parts for r in reader.read(p)) == sorted(["", *(f"d{i}{x}" for i in range(100) for x in ("", "/e", "/e/f"))])
+
+
+def test_names_are_filtered_while_walking(spark, tmp_path):
+    put(tmp_path, {"a.tmp": "", "sub/b.bak": "", "sub/c.txt": "", "x.tmp/d.txt": ""})
+    assert rels(scan_tree(spark, str(tmp_path), contains=JUNK_PARTS)) == ["a.tmp", "sub/b.bak"]
+
+
+def answer(monkeypatch, text):
+    monkeypatch.setattr("sys.stdin", io.StringIO(text))
+
+
+def test_command_compare_writes_one_file(spark, trees, tmp_path, capsys):
+    cli.main(["compare", "-a", str(trees / "a"), "-b", str(trees / "b"), "--hash-mode", "strict"])
+    printed = capsys.readouterr().out
+    cli.main(["compare", "-a", str(trees / "a"), "-b", str(trees / "b"), "--hash-mode", "strict", "-o", str(tmp_path / "out.txt")])
+    assert (tmp_path / "out.txt").read_text() == printed
+    assert printed.splitlines() == ["Only in A: 4", "dlink", "link", "same-size.bin", "size.txt", "Only in B: 2", "other.bin", "size.txt"]
+    with pytest.raises(SystemExit):
+        cli.main(["compare", "-a", "x", "-b", "y", "-o", str(tmp_path / "none/out.txt")])
+
+
+def test_command_dedup_asks_first(spark, tmp_path, monkeypatch, capsys):
+    put(tmp_path, {"r/f": "same", "c1/x/f": "same", "c2/x/f": "other", "c2/y/g": "same"})
+    call = ["dedup", "--reference", str(tmp_path / "r"), "--cleanup", str(tmp_path / "c1"), "--cleanup", str(tmp_path / "c2")]
+    for text in ("", "n\n"):
+        answer(monkeypatch, text)
+        cli.main(call)
+        assert (tmp_path / "c1/x/f").exists()
+    answer(monkeypatch, " Yes\n")
+    cli.main(call)
+    assert not (tmp_path / "c1").exists() and (tmp_path / "c2/x/f").exists() and not (tmp_path / "c2/y").exists()
+    assert "3 directories removed" in capsys.readouterr().out
+
+
+def test_command_junk_deletes_what_it_lists(spark, tmp_path, monkeypatch, capsys):
+    put(tmp_path, {"j/a.tmp": "", "j/b.txt": "", "j/s/Thumbs.db": ""})
+    answer(monkeypatch, "y\n")
+    cli.main(["junk", "-d", str(tmp_path / "j"), "-o", str(tmp_path / "list.txt")])
+    assert (tmp_path / "list.txt").read_text().splitlines() == [str(tmp_path / "j/a.tmp"), str(tmp_path / "j/s/Thumbs.db")]
+    assert sorted(p.name for p in (tmp_path / "j").rglob("*") if p.is_file()) == ["b.txt"]
+
+
+def test_command_caches_empties_or_deletes(spark, tmp_path, monkeypatch, capsys):
+    put(tmp_path, {"h/pip/a": "123", "h/app/GPUCache/b": "45", "h/app/keep": "6"})
+    monkeypatch.setattr(cli, "cache_roots", lambda: [(str(tmp_path / "h"), 0), (str(tmp_path / "none"), 0)])
+    cli.main(["caches"])
+    out = capsys.readouterr().out.splitlines()
+    assert out == [f"{tmp_path}/h/app/GPUCache  2 B", f"{tmp_path}/h/pip  3 B", "Total: 5 B"]
+    answer(monkeypatch, "y\n")
+    cli.main(["caches", "--force", "--empty"])
+    assert (tmp_path / "h/pip").is_dir() and not os.listdir(tmp_path / "h/pip")
+    answer(monkeypatch, "y\n")
+    cli.main(["caches", "--force"])
+    assert sorted(os.listdir(tmp_path / "h")) == ["app"] and os.listdir(tmp_path / "h/app") == ["keep"]
+
+
+def test_staged_tables_need_a_shared_folder_and_can_be_cleaned_up(spark):
+    from types import SimpleNamespace
+
+    from arbora import staging
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        staging.shared_dir(unset)
+    kept = staging.stage(spark.range(3))
+    assert kept.count() == 3
+    folder = kept._arbora_path.removeprefix("file://")
+    staging.discard(kept)
+    assert not os.path.exists(folder)
