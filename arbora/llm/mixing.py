@@ -5,16 +5,22 @@ as a Poisson draw of that mean says, found by inverting the distribution at a un
 seed. Draws need no state: they can be recomputed anywhere and don't change when other rows do. Copies are dealt out
 by a hash of row and copy and sorted by it within partitions: a global shuffle in one exchange.
 
+The rates, one row a source, are counted and then broadcast if there are at most BROADCAST_SOURCES of them (about 1 KB each);
+beyond that they are joined by source and a salt of the row, so that a source of any size is dealt over SALTS parts.
+
 A mean above 16 is drawn as a sum of several equal Poisson draws. Null sources form one source of their own; null ids
-and texts hash like values, rows equal in both draw alike; sources without rows count for nothing; no rows, no result.
+and texts hash like values, rows equal in both draw alike, and their copies tie in no other way; a text of any length is
+only hashed; sources without rows count for nothing; no rows, no result.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm.common import packed, table, unpacked
+from arbora.staging import stage
 
 SEED, ALPHA, PIECE, TERMS = 7, 0.5, 16.0, 120
+BROADCAST_SOURCES, SALTS = 10_000, 64
 
 
 def _uniform(key: Column, *more: Column) -> Column:
@@ -56,18 +62,23 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALPH
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALPHA, budget: float | None = None) -> DataFrame:
     """docs repeated to the target weights, with `copy` (0..) and `shuffle_key` (rows lie in its order within files)."""
+    per = stage(rates(docs, weights, alpha, budget).withColumnRenamed("src", "_src"), "rates")
+    few = per.count() <= BROADCAST_SOURCES
     pieces = F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)).cast("int")
-    per = rates(docs, weights, alpha, budget).withColumn("pieces", pieces)
-    per = per.select(F.col("src").alias("_src"), F.col("pieces").alias("_pieces"), _distribution(F.col("rate") / F.col("pieces")).alias("_cdf"))
+    per = per.withColumn("_pieces", pieces).select("_src", "_pieces", _distribution(F.col("rate") / F.col("_pieces")).alias("_cdf"))
     row = F.col("_arbora_row")
     key = F.md5(F.concat_ws("|", row["doc_id"].cast("string"), F.md5(F.coalesce(row["text"], F.lit("")))))
     rows = packed(docs).withColumn("_src", F.coalesce(F.concat(F.lit("s"), row["source"]), F.lit("n"))).withColumn("_key", key)
-    draws = F.transform(
-        F.sequence(F.lit(1), F.col("_pieces")),
-        lambda j: F.size(F.filter("_cdf", lambda c: c <= _uniform(F.col("_key"), j.cast("string")))),
-    )
-    times = F.aggregate(draws, F.lit(0), lambda a, b: a + b)
-    drawn = rows.join(per, "_src").select("_arbora_row", "_key", times.alias("_times")).filter("_times > 0")
+    if few:
+        met = rows.join(F.broadcast(per), "_src")
+    else:
+        salted = per.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rows.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")).join(salted, ["_src", "_salt"])
+    # the draws first, one hash each; then each is looked up in the distribution
+    draws = F.transform(F.sequence(F.lit(1), F.col("_pieces")), lambda j: _uniform(F.col("_key"), j.cast("string")))
+    counts = F.transform(draws, lambda u: F.size(F.filter("_cdf", lambda c: c <= u)))
+    times = F.aggregate(counts, F.lit(0), lambda a, b: a + b)
+    drawn = met.select("_arbora_row", "_key", times.alias("_times")).filter("_times > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times").cast("long") - 1)))
     copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", "_key", F.lit(f"copy{SEED}"), F.col("copy").cast("string"))))
     dealt = copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
