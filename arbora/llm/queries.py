@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_sharding": sharding.SQL,
     "op2_quality_rules": rules.SQL,
     "op5_decontamination": decontaminate.SQL,
     "op8_chat_formatting": chat.SQL,

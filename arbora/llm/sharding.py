@@ -1,15 +1,23 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
 Each shard owns `vnodes` points of a ring of hashes; a row belongs to the arc that ends at the first point at or
-after its own hash. Arcs are filled in ring order: an arc's rows go to its owner while that has room, and what
+after its key's hash. Arcs are filled in ring order: an arc's rows go to its owner while that has room, and what
 overflows continues clockwise to the next shard with room. Capacities are ceil(load * n / shards), or at load 1 the
-exact quotas (counts at most one apart). Only the counts of the arcs' buckets reach the driver: shards * vnodes *
-buckets numbers, whatever the input; rows are then placed by one join with those intervals.
+exact quotas (counts at most one apart).
 
-Nulls and empty texts hash like values; repeated rows, and any one id that holds a large share of all rows, are
-dealt over an arc's buckets by the partition they are read from, so no task gets them all. An empty table gives no rows.
+Rows are ranked within an arc by a hash of the whole row, so the result depends on the rows alone, not on how they are
+partitioned or read; rows equal in every column are interchangeable. An arc of many rows, such as that of one id with a
+third of all, is cut into ranges of that hash of about PER_BUCKET rows, each ranked by one task. A row that is there more
+than HOT times is made from one copy and its count, in pieces that any task can take. Only the counts of the ranges and
+the HOT rows' hashes reach the driver: shards * vnodes + n / PER_BUCKET + n / HOT numbers.
+
+Slots are ranks within the shard, stepped through by a stride near the golden section of its size, so that rows of
+neighbouring ranks, such as copies of a document, lie far apart. Nulls and empty texts hash like values, texts of any
+length are only hashed, an empty table gives no rows, other columns named shard or slot are replaced.
 """
 
+import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.llm.common import packed, table, unpacked
-from arbora.staging import stage
+from arbora.staging import discard, stage
 
-SHARDS, VNODES, BUCKETS, LOAD = 8, 64, 32, 1.0
+SHARDS, VNODES, LOAD = 8, 64, 1.0
+PER_BUCKET, HOT, PIECE = 1 << 20, 1 << 20, 1 << 14
 RING_SEED = 1009
+DIGITS = 15  # of an MD5: 60 bits
 
 
 @dataclass(frozen=True)
@@ -32,10 +42,10 @@ class Ring:
     shards: int
 
     @classmethod
-    def build(cls, spark: SparkSession, shards: int, vnodes: int) -> "Ring":
+    def build(cls, shards: int, vnodes: int) -> "Ring":
         """Points depend on shard and replica alone, so a shard that is added moves nothing between the others."""
-        ids = spark.range(shards * vnodes).select((F.col("id") % shards).cast("int").alias("s"), F.floor(F.col("id") / shards).alias("v"))
-        return cls(sorted((r.p, r.s) for r in ids.select("s", F.xxhash64(F.lit(RING_SEED), "s", "v").alias("p")).collect()), shards)
+        at = lambda s, v: int(hashlib.md5(f"{RING_SEED}|{s}|{v}".encode()).hexdigest()[:DIGITS], 16)
+        return cls(sorted((at(s, v), s) for s in range(shards) for v in range(vnodes)), shards)
 
     def arc(self, position: Column) -> Column:
         """Index of the first point at or after position; past the last one, the first."""
@@ -86,26 +96,70 @@ def place(counts: list[tuple[int, int, int]], ring: Ring, load: float) -> list[t
     return out
 
 
-def assign(
-    docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, vnodes: int = VNODES, load: float = LOAD, buckets: int = BUCKETS
-) -> DataFrame:
+def stride(n: int) -> int:
+    """The least number from n * 0.618 on that has no divisor in common with n."""
+    step = max(n * 618 // 1000, 1)
+    while math.gcd(step, n) != 1:
+        step += 1
+    return step
+
+
+def _number(text: Column, digits: int = DIGITS) -> Column:
+    return F.conv(F.substring(text, 1, digits), 16, 10).cast("long")
+
+
+def _row_hash(row: Column, names: list[str]) -> Column:
+    """MD5 over the row's columns as text."""
+    return F.md5(F.concat_ws("|", *(F.coalesce(row[c].cast("string"), F.lit("\0")) for c in names)))
+
+
+def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, vnodes: int = VNODES, load: float = LOAD) -> DataFrame:
     """docs with `shard` (int) and `slot` (long, gapless from 0 within a shard)."""
     spark = docs.sparkSession
-    ring = Ring.build(spark, shards, vnodes)
-    row = F.col("_arbora_row")[key]
-    rows = packed(docs).withColumn("_pos", F.xxhash64(F.lit(RING_SEED + 1), row))
-    rows = rows.withColumn("_arc", ring.arc(F.col("_pos"))).withColumn(
-        "_bucket", F.pmod(F.xxhash64("_pos", F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
-    )
-    rows = stage(rows, "ring")  # buckets depend on where rows are read, so both uses must see one result
-    counts = [tuple(r) for r in rows.groupBy("_arc", "_bucket").count().collect()]
-    spans = spark.createDataFrame(place(counts, ring, load), "_arc int, _bucket int, _first long, _last long, shard int, _slot long")
-    rank = F.row_number().over(Window.partitionBy("_arc", "_bucket").orderBy("_pos"))
-    # at most shards * vnodes * buckets + shards intervals, whatever the input
-    placed = rows.withColumn("_rank", rank.cast("long")).join(
-        F.broadcast(spans), ["_arc", "_bucket"]
-    ).filter("_rank between _first and _last")
-    return unpacked(placed.withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_first")), "shard", "slot")
+    ring = Ring.build(shards, vnodes)
+    row = F.col("_arbora_row")
+    position = _number(F.md5(F.concat_ws("|", F.lit(str(RING_SEED + 1)), row[key].cast("string"))))
+    rows = packed(docs).withColumn("_arc", ring.arc(position)).withColumn("_hash", _row_hash(row, docs.columns))
+    keys = stage(rows.select("_arc", F.unhex("_hash").alias("_hash")), "ring")
+    hot = keys.groupBy("_arc", "_hash").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).collect()  # n / HOT rows at most
+    sizes = {r["_arc"]: r["n"] for r in keys.groupBy("_arc").agg(F.count("*").alias("n")).collect()}
+    parts = [max(-(-sizes.get(k, 0) // PER_BUCKET), 1) for k in range(shards * vnodes)]
+    spots = [(r["_arc"], parts[r["_arc"]] + i, r["n"], r["_hash"].hex()) for i, r in enumerate(hot)]
+
+    if max(parts) > 1:
+        share = _number(F.col("_hash"), 13) / F.lit(float(1 << 52))
+        bucket = F.floor(share * F.get(F.array(*map(F.lit, parts)), F.col("_arc"))).cast("int")
+    else:
+        bucket = F.lit(0)
+    named = rows
+    counted = keys.withColumn("_hash", F.lower(F.hex("_hash")))
+    if spots:
+        big = F.broadcast(spark.createDataFrame([(h,) for *_, h in spots], "_hash string"))
+        counted, named = counted.join(big, "_hash", "left_anti"), rows.join(big, "_hash", "left_anti")
+    counts = [tuple(r) for r in counted.withColumn("_bucket", bucket).groupBy("_arc", "_bucket").count().collect()]
+    discard(keys)
+    spans = place(counts + [s[:3] for s in spots], ring, load)
+    held = [0] * shards
+    for _, _, first, last, shard, _ in spans:
+        held[shard] += last - first + 1
+    spans = [(*s, held[s[4]], stride(held[s[4]])) for s in spans]
+    # at most shards * vnodes + shards intervals, and one for each further bucket
+    spans = F.broadcast(spark.createDataFrame(spans, "_arc int, _bucket int, _first long, _last long, shard int, _slot long, _held long, _step long"))
+
+    rank = F.row_number().over(Window.partitionBy("_arc", "_bucket").orderBy("_hash")).cast("long")
+    placed = named.withColumn("_bucket", bucket).withColumn("_rank", rank)
+    placed = placed.join(spans, ["_arc", "_bucket"]).filter("_rank between _first and _last")
+    out = [*rows.columns, "shard", "_slot", "_rank", "_first", "_held", "_step"]
+    placed = placed.select(out)
+    if spots:
+        ids = F.broadcast(spark.createDataFrame([(a, b, h) for a, b, _, h in spots], "_arc int, _bucket int, _hash string"))
+        one = rows.join(ids, ["_arc", "_hash"]).groupBy("_arc", "_bucket", "_hash").agg(F.first("_arbora_row").alias("_arbora_row"))
+        many = one.join(spans, ["_arc", "_bucket"])
+        many = many.withColumn("_from", F.explode(F.sequence("_first", "_last", F.lit(PIECE).cast("long")))).repartition("_hash", "_from")
+        many = many.withColumn("_rank", F.explode(F.sequence("_from", F.least(F.col("_from") + PIECE - 1, "_last"))))
+        placed = placed.unionByName(many.select(out))
+    nth = (F.col("_slot") + F.col("_rank") - F.col("_first")).cast("decimal(19,0)")
+    return unpacked(placed.withColumn("slot", (nth * F.col("_step").cast("decimal(18,0)") % F.col("_held").cast("decimal(18,0)")).cast("long")), "shard", "slot")
 
 
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,3 +173,33 @@ def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+_CRC = ", ".join(f"CASE WHEN c{i} & 1 = 1 THEN xor(c{i} >> 1, 3988292384) ELSE c{i} >> 1 END AS c{i + 1}" for i in range(8))
+SQL = f"""
+WITH RECURSIVE crc AS (SELECT list(c8 ORDER BY c0) AS t FROM (SELECT CAST(range AS BIGINT) AS c0, {_CRC} FROM range(256))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size,
+    coalesce(xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295), 0) AS crc,
+    CAST('0x' || substr(md5(concat_ws('|', '{RING_SEED + 1}', CAST(doc_id AS VARCHAR))), 1, {DIGITS}) AS BIGINT) AS pos FROM documents, crc),
+pts AS (SELECT row_number() OVER (ORDER BY p, s) - 1 AS k, p, s FROM (
+    SELECT s, CAST('0x' || substr(md5('{RING_SEED}|' || s || '|' || v), 1, {DIGITS}) AS BIGINT) AS p
+    FROM (SELECT unnest(range({SHARDS})) AS s), (SELECT unnest(range({VNODES})) AS v))),
+a AS (SELECT rid, doc_id, size, crc, md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), chr(0)), size, crc)) AS h,
+    (SELECT count(*) FROM pts WHERE p < pos) % {SHARDS * VNODES} AS k FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY h) AS rank FROM a),
+total AS (SELECT list(n // {SHARDS} + CASE WHEN s < n % {SHARDS} THEN 1 ELSE 0 END ORDER BY s) AS q FROM (SELECT count(*) AS n FROM d), (SELECT unnest(range({SHARDS})) AS s)),
+clock AS (SELECT k, list(s ORDER BY far) AS o FROM (SELECT x.k, y.s, min((y.k - x.k + {SHARDS * VNODES}) % {SHARDS * VNODES}) AS far FROM pts x, pts y GROUP BY ALL) GROUP BY k),
+arcs AS (SELECT clock.k, o, coalesce(n, 0) AS n FROM clock LEFT JOIN (SELECT k, count(*) AS n FROM a GROUP BY k) USING (k)),
+walk(k, used) AS (SELECT CAST(0 AS BIGINT), list_transform(range({SHARDS}), lambda s: CAST(0 AS BIGINT))
+  UNION ALL SELECT k + 1, list_transform(range({SHARDS}), lambda s: used[s + 1] + takes[list_position(o, s)]) FROM (
+    SELECT k, used, o, list_transform(range(1, {SHARDS + 1}), lambda i: CAST(greatest(0, least(f[i], n - coalesce(list_sum(f[1:i - 1]), 0))) AS BIGINT)) AS takes FROM (
+      SELECT walk.k, used, o, n, list_transform(o, lambda s: q[s + 1] - used[s + 1]) AS f FROM walk JOIN arcs USING (k), total))),
+fits AS (SELECT k, o, used, list_transform(range(1, {SHARDS + 1}), lambda i: CAST(greatest(0, least(f[i], n - coalesce(list_sum(f[1:i - 1]), 0))) AS BIGINT)) AS takes
+  FROM (SELECT walk.k, used, o, n, list_transform(o, lambda s: q[s + 1] - used[s + 1]) AS f FROM walk JOIN arcs USING (k), total)),
+spans AS (SELECT k, o[i] AS shard, takes[i] AS n, used[o[i] + 1] AS slot, 1 + coalesce(list_sum(takes[1:i - 1]), 0) AS first FROM fits, (SELECT unnest(range(1, {SHARDS + 1})) AS i)),
+held AS (SELECT s, n, list_filter(range(greatest(n * 618 // 1000, 1), n + 2), lambda c: gcd(c, n) = 1)[1] AS step FROM (SELECT unnest(range({SHARDS})) AS s, unnest(q) AS n FROM total))
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
+  CAST((CAST(slot + rank - first AS HUGEINT) * step) % held.n AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM r JOIN spans ON r.k = spans.k AND rank >= first AND rank < first + spans.n JOIN held ON held.s = shard
+"""

@@ -1,0 +1,62 @@
+"""Rings: the same rows give the same shards, however they are read; hot rows; growth; copies lie apart."""
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from arbora.llm import sharding
+
+
+def placed(df, **kw):
+    return Counter((r.doc_id, r.shard, r.slot) for r in sharding.assign(df, **kw).collect())
+
+
+@pytest.mark.parametrize("per_bucket,hot", ((1 << 20, 1 << 20), (64, 1 << 20), (64, 100)))
+def test_partitioning_and_order_do_not_matter(spark, per_bucket, hot, monkeypatch):
+    """A third of the rows shares an id, a quarter is one and the same row, some ids are null."""
+    monkeypatch.setattr(sharding, "PER_BUCKET", per_bucket)
+    monkeypatch.setattr(sharding, "HOT", hot)
+    monkeypatch.setattr(sharding, "PIECE", 32)
+    rows = [(7, f"t{i}") for i in range(1000)] + [(8, "same")] * 750 + [(None, None)] * 50 + [(i, "") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, slot string")
+    a, b = placed(df.repartition(3)), placed(df.repartition(5).orderBy(F.rand(1)))
+    assert a == b and sum(a.values()) == len(rows)
+    slots = {}
+    for _, shard, slot in a:
+        slots.setdefault(shard, []).append(slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(map(len, slots.values())) == {375}
+
+
+def test_growth_at_load_1_moves_little(spark):
+    df = spark.range(4500).select(F.col("id").alias("doc_id"))
+    before, after = ({r.doc_id: r.shard for r in sharding.assign(df, shards=n).collect()} for n in (8, 9))
+    assert sum(before[k] != after[k] for k in before) < 0.3 * 4500
+
+
+def test_copies_of_a_document_lie_apart(spark):
+    df = spark.range(2000).select((F.col("id") % 500).alias("doc_id"), F.lit("t").alias("text"))
+    got = {(r.shard, r.slot): r.doc_id for r in sharding.assign(df).collect()}
+    assert sum(got.get((s, k + 1)) == d for (s, k), d in got.items()) < 20
+
+
+def test_no_rows_and_clashing_columns(spark):
+    empty = spark.createDataFrame([], "doc_id long, Shard string, _arc int, text string")
+    assert sharding.assign(empty).count() == 0
+    one = sharding.assign(spark.createDataFrame([(1, "x", 2, "y" * 1_000_000)], empty.schema))
+    assert one.columns == ["doc_id", "_arc", "text", "shard", "slot"] and one.first().slot == 0
+
+
+def test_strides_reach_every_slot():
+    for n in (1, 2, 3, 8, 30, 250, 1000):
+        assert len({i * sharding.stride(n) % n for i in range(n)}) == n
+
+
+def test_mixing_draws_alike_whether_rates_are_broadcast_or_salted(spark, monkeypatch):
+    from arbora.llm import mixing
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 > 0, "big").alias("source"))
+    draw = lambda: Counter(map(tuple, mixing.mix(docs, budget=60_000.0).collect()))
+    few = draw()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert few == draw() and abs(sum(few.values()) - 60_000) < 1500
