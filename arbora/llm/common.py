@@ -22,8 +22,9 @@ def text_or_empty(text: Column | str = "text") -> Column:
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """What identifies a row up to repetition: its id and its text. Rows that share both get equal results."""
-    return F.xxhash64(F.col(doc_id), F.col(text), F.lit(17))
+    """What identifies a row up to repetition: 128 bits of its id and its text. Rows that share both get equal results."""
+    said = F.when(F.col(text).isNull(), F.lit("n")).otherwise(F.concat(F.lit("t"), text))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), said)))
 
 
 def packed(df: DataFrame) -> DataFrame:

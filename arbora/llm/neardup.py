@@ -4,21 +4,26 @@ Equal sets become one class. A number of independent trees branch the classes by
 to the child named by the token that the level's hash selects from its set, so two sets stay together with a
 probability equal to their similarity. A node of at most LEAF classes, or one at the last level, is compared
 exhaustively on sketches of one byte from each of SKETCH minwise hashes; pairs whose estimate lies within four deviations of the threshold
-or above are confirmed on the full sets.
+or above are confirmed on the full sets: first of hashes, then, if those reach it, of the words themselves.
 
 Two passes keep the pairs few and lose no link: first the maximum spanning forest of each node of FIRST trees, which is
 confirmed and turned into components; then, over the nodes of all trees that still hold two components, every pair
 that crosses components. Those are confirmed where the two classes meet: classes that have a candidate in a block get their
 texts sent there, and only confirmed links leave it, so that rows grow with the seats of classes, not with pairs. A
 last-level node above LEAF is dealt into blocks; classes outside its largest component visit all of its blocks, so none is
-compared with less than all others. A block's own classes are held, visitors stream past them.
+compared with less than all others. A block's own classes, WIDE * LEAF of them or WEIGHT
+shingles, are held, visitors stream past them.
+Branching such nodes further instead costs more at any size met: texts around one template with a similarity of 0.7, of
+which no two are linked, leave 0.82 of a node together at each level, while a pair at 0.85 needs 1 / 0.85 times the trees,
+that is (n / LEAF)^0.83 seats a class for a node of n, against n / (WIDE * LEAF) visits.
 
 The threshold is the caller's, in hundredths; the number of trees and the least estimate follow from it. Two sets of
 similarity s meet in a leaf of level d of some of n trees with probability 1 - (1 - s^d)^n. n is the least that leaves at
 most MISS to the last level (crowded nodes only) at the threshold: 12 trees at 0.85, 17 at 0.80.
 
-A null or wordless text has an empty set and is linked with nothing. Rows that repeat an id are judged by their own
-texts. A null id is never the smallest. Extra columns don't matter; no rows, no result.
+A null or wordless text has an empty set and is linked with nothing. A text of any length is hashed in pieces, its set held
+whole. Rows that repeat an id are judged by their own texts; rows equal in both are kept once, the one of least hash over
+all columns. A null id is never the smallest. Extra columns don't matter; no rows, no result.
 """
 
 import hashlib
@@ -32,10 +37,10 @@ from pyspark.sql import functions as F
 
 from arbora.llm.common import row_key, table
 from arbora.llm.components import components
-from arbora.llm.shingles import Minwise, common, shingle_sets
+from arbora.llm.shingles import Minwise, common, exact_sets, shingle_sets
 from arbora.staging import stage
 
-THRESHOLD, LEVELS, LEAF, SKETCH, FIRST, MISS = 85, 4, 64, 384, 3, 2e-4
+THRESHOLD, LEVELS, LEAF, WIDE, WEIGHT, SKETCH, FIRST, MISS = 85, 4, 64, 256, 1 << 22, 384, 3, 2e-4
 
 
 class _Limits:
@@ -74,24 +79,24 @@ def _describe(limits: _Limits):
 
 
 def _leaves(classes: DataFrame, trees: int) -> DataFrame:
-    """(tree, path, size, fp) of every node that is compared, size being its number of classes."""
+    """(tree, path, size, weight, fp) of every node that is compared: its number of classes and shingles in all."""
     named = F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)),
         lambda t: F.struct(t.alias("tree"), F.slice("tokens", t * LEVELS + 1, LEVELS).alias("steps")),
     )
-    rows = classes.select("fp", F.inline(named)).withColumn("path", F.lit(0).cast("long"))
+    rows = classes.select("fp", "n", F.inline(named)).withColumn("path", F.lit(0).cast("long"))
     out = None
     for level in range(LEVELS):
         rows = rows.withColumn("path", F.xxhash64("path", F.col("steps")[level]))
         # staged, so that the join's sides are plain shuffles, which adaptive execution can split
-        sizes = stage(rows.groupBy("tree", "path").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+        sizes = stage(rows.groupBy("tree", "path").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).filter("size > 1"), "sizes")
         rows = rows.join(sizes, ["tree", "path"])
         last = level == LEVELS - 1
         done = rows if last else rows.filter(F.col("size") <= LEAF)
-        done = done.select("tree", "path", "size", "fp")
+        done = done.select("tree", "path", "size", "weight", "fp")
         out = done if out is None else out.unionByName(done)
         if not last:
-            rows = stage(rows.filter(F.col("size") > LEAF).drop("size"), "branch")
+            rows = stage(rows.filter(F.col("size") > LEAF).drop("size", "weight"), "branch")
     return out
 
 
@@ -133,17 +138,23 @@ def _meetings(left: list[dict], right: list[dict] | None, limits: _Limits) -> li
     within = right is None
     right = left if within else right
     (sk, leaf, block), (sk2, leaf2, block2) = _arrays(left, limits.trees), _arrays(right, limits.trees)
-    comp2, own2 = np.array([r["comp"] for r in right], object), np.array([r["own"] for r in right])
+    comps = {c: i for i, c in enumerate({r["comp"] for r in (*left, *right)})}
+    comp, comp2 = (np.array([comps[r["comp"]] for r in rows]) for rows in (left, right))
+    own, roams = np.array([r["own"] for r in left]), np.array([r["roams"] for r in left])
+    # of two different components at least one is not the largest; visitors are of none that is
+    few = np.flatnonzero(comp != np.bincount(comp).argmax()) if within else np.arange(len(right))
     out = []
-    for i, r in enumerate(left):
-        sim = (sk2 == sk[i]).mean(axis=1)
-        js = np.flatnonzero((sim >= limits.loose) & (comp2 != r["comp"]))
+    for j in few:
+        sim = np.count_nonzero(sk == sk2[j], axis=1) / sk.shape[1]
+        ok = (sim >= limits.loose) & (comp != comp2[j])
         if within:
-            js = js[js > i]
-        elif r["roams"]:
-            js = js[own2[js] > r["own"]]  # two that roam meet at home of the one with the lower block
-        meet = (leaf2[js] == leaf[i]) & (leaf[i] != 0) & ((block2[js] == block[i]) | (block2[js] < 0) | (block[i] < 0))
-        out += [(-sim[j], i, int(j)) for j in js[meet.argmax(axis=1) == r["tree"]]] if len(js) else []
+            ok[few[few <= j]] = False
+        else:  # two that roam meet at home of the one with the lower block
+            ok &= ~roams | (own < right[j]["own"])
+        at = np.flatnonzero(ok)
+        if len(at):
+            meet = (leaf[at] == leaf2[j]) & (leaf2[j] != 0) & ((block[at] == block2[j]) | (block[at] < 0) | (block2[j] < 0))
+            out += [(-sim[i], int(i), int(j)) for i in at[meet.argmax(axis=1) == right[j]["tree"]]]
     return [(i, j) for _, i, j in sorted(out)]
 
 
@@ -207,7 +218,7 @@ class _Links:
         out = []
         for i, j in _meetings(self.home, guests, self.limits):
             a, b = self._find(self.home[i]["comp"]), self._find(right[j]["comp"])
-            if a != b and _reaches(self.sets[i], sets[j], self.limits.threshold):
+            if a != b and _linked(self.sets[i], sets[j], self.home[i]["text"], right[j]["text"], self.limits.threshold):
                 self.root[a] = b
                 u, v = self.home[i]["fp"], right[j]["fp"]
                 out.append((max(u, v), min(u, v)))
@@ -299,9 +310,14 @@ def _pairs(rows: DataFrame, classes: DataFrame, pick, loose: float) -> DataFrame
     return dealt.mapInArrow(_by_group(pick, loose), "u binary, v binary").distinct()
 
 
-def _block(spread_key: str = "fp"):
-    blocks = F.ceil(F.col("size") / LEAF).cast("long")
-    return F.when(F.col("size") <= LEAF, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(spread_key), blocks))
+def _blocks():
+    """Blocks of a crowded node in the second pass."""
+    return F.greatest(F.ceil(F.col("size") / (WIDE * LEAF)), F.ceil(F.col("weight") / WEIGHT)).cast("long")
+
+
+def _block(blocks):
+    """The block of a class in its node, one if the node isn't crowded."""
+    return F.when(F.col("size") <= LEAF, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("fp"), blocks))
 
 
 def _reaches(left: np.ndarray, right: np.ndarray, threshold: int) -> bool:
@@ -312,12 +328,17 @@ def _reaches(left: np.ndarray, right: np.ndarray, threshold: int) -> bool:
     return both > 0 and 100 * both >= threshold * (len(left) + len(right) - both)
 
 
+def _linked(left: np.ndarray, right: np.ndarray, text: str, other: str, threshold: int) -> bool:
+    """Whether two texts are linked: by the hashes of their sets and, if those agree, by the words."""
+    return _reaches(left, right, threshold) and _reaches(*exact_sets([text, other]), threshold)
+
+
 def _confirmed(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for left, right in zip(shingle_sets(b.column("text_u")), shingle_sets(b.column("text_v"))):
-                good.append(_reaches(left, right, threshold))
+            good, texts = [], zip(b.column("text_u").to_pylist(), b.column("text_v").to_pylist())
+            for left, right, both in zip(shingle_sets(b.column("text_u")), shingle_sets(b.column("text_v")), texts):
+                good.append(_linked(left, right, *both, threshold))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], ["u", "v"])
 
@@ -337,7 +358,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, key (row key), n_shingles, component_id for each row with (doc_id, text). threshold: in hundredths."""
     limits = _Limits(threshold)
     rows = docs.select("doc_id", row_key().alias("key"), "text")
-    schema = "doc_id long, key long, n long, fp binary, tokens array<long>, sketch binary"
+    schema = "doc_id long, key binary, n long, fp binary, tokens array<long>, sketch binary"
     members = stage(rows.mapInArrow(_describe(limits), schema), "sets")
     grouped = members.filter("fp is not null").groupBy("fp").agg(
         F.min("doc_id").alias("min_id"), F.min("n").alias("n"), F.min("key").alias("key"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")
@@ -349,10 +370,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     texts = stage(found.select("fp", "n", "text"), "texts")
 
     # first pass: spanning forests of a few trees; a crowded node's smallest class joins each of its blocks
-    few = leaves.filter(F.col("tree") < FIRST).withColumn("block", _block())
+    few = leaves.filter(F.col("tree") < FIRST).withColumn("block", _block(F.ceil(F.col("size") / LEAF).cast("long")))
     heads = few.filter(F.col("size") > LEAF).groupBy("tree", "path", "size").agg(F.min("fp").alias("fp"))
+    heads = heads.withColumn("weight", F.lit(0).cast("long"))
     seats = few.filter(F.col("size") > LEAF).select("tree", "path", "block").distinct()
-    guests = heads.join(seats, ["tree", "path"]).select("tree", "path", "size", "fp", "block")
+    guests = heads.join(seats, ["tree", "path"]).select("tree", "path", "size", "weight", "fp", "block")
     first = _pairs(few.unionByName(guests).select(_group_key(), "fp"), classes, _forest, limits.loose)
     first = stage(first, "pairs")
     links = stage(_confirm(first, texts, threshold), "links")
@@ -363,12 +385,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     each = own.groupBy("tree", "path", "comp").agg(F.count("*").alias("k"))
     mixed = each.groupBy("tree", "path").agg(F.count("*").alias("n_comp"), F.max_by("comp", F.struct("k", "comp")).alias("major")).filter("n_comp > 1")
     roams = (F.col("size") > LEAF) & (F.col("comp") != F.col("major"))
-    open_ = own.join(mixed.select("tree", "path", "major"), ["tree", "path"]).withColumn("own", _block()).withColumn("roams", roams)
+    open_ = own.join(mixed.select("tree", "path", "major"), ["tree", "path"]).withColumn("own", _block(_blocks())).withColumn("roams", roams)
     open_ = stage(open_.drop("major"), "open")
     seat = F.struct("tree", F.xxhash64("tree", "path").alias("leaf"), F.when(F.col("roams"), F.lit(-1).cast("long")).otherwise(F.col("own")).alias("block"))
     seats = open_.groupBy("fp").agg(F.collect_list(seat).alias("seats"))  # one a tree at most
-    blocks = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / LEAF).cast("long") - 1)
-    visits = open_.filter("roams").withColumn("block", F.explode(blocks)).filter("block <> own").withColumn("home", F.lit(False))
+    visits = open_.filter("roams").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), _blocks() - 1))).filter("block <> own").withColumn("home", F.lit(False))
     cross = open_.withColumn("block", F.col("own")).withColumn("home", F.lit(True)).unionByName(visits)
     cross = cross.join(seats.join(classes.select("fp", "sketch"), "fp"), "fp").withColumn("grp", _group_key())
     near = stage(_run_blocks(cross.select(*_Candidates.names), _Candidates, limits), "near")
@@ -393,12 +414,28 @@ def _kept():
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each component, with its columns; a row that is there twice stays once."""
-    keys = near_duplicates(docs.select("doc_id", "text"), threshold).filter(_kept()).select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"))
-    rows = docs.withColumn("_key", row_key())
-    kept = rows.join(keys.select("_key").distinct(), "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).drop("_key")
+    keys = near_duplicates(docs.select("doc_id", "text"), threshold).filter(_kept()).select(F.col("key").alias("_key")).distinct()
+    rows = docs.select(row_key().alias("_key"), F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.xxhash64(*docs.columns).alias("_nth"))
+    kept = rows.join(keys, "_key", "left_semi").groupBy("_key").agg(F.min_by("_row", "_nth").alias("_row"))
+    return kept.select("_row.*")
 
 
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_shingles", "component_id", _kept().alias("kept"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+met AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+link AS (SELECT x, y FROM met JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(x, y) AS (SELECT rid, rid FROM d UNION SELECT reach.x, edge.y FROM reach JOIN edge ON reach.y = edge.x),
+c AS (SELECT x, min(doc_id) AS component_id FROM reach JOIN d ON d.rid = y GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN c ON x = rid LEFT JOIN n USING (rid)
+"""

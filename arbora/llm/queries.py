@@ -19,6 +19,7 @@ ORACLE_SQL = {
     "op1_sharding": sharding.SQL,
     "op2_quality_rules": rules.SQL,
     "op5_decontamination": decontaminate.SQL,
+    "op7_near_duplicates": neardup.SQL,
     "op8_chat_formatting": chat.SQL,
     "op9_mixing": mixing.SQL,
 }

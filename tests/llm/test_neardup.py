@@ -70,3 +70,68 @@ def test_the_pipeline_links_from_080_on(spark, close):
 
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(close, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r[2] for r in near_duplicates(close, 80)})
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_of_like_structure_are_told_apart(spark):
+    """A Thue-Morse word and its complement collide under polynomial hashes modulo a power of two."""
+    rows = [(2 * k + flip, thue_morse(n, flip)) for k, n in enumerate((1024, 4096)) for flip in (0, 1)]
+    rows += [(10 + flip, "one two three four five six " + thue_morse(2048, flip)) for flip in (0, 1)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: d for d, _ in rows}
+
+
+def test_exact_sets_and_hashed_ones_agree(corpus):
+    texts = [t or "" for _, t in corpus][:300] + ["", "a", "a b", "a  b", "a b c d e", "a b c d e f a b c d e", "é\u3000x y z w"]
+    import pyarrow as pa
+
+    hashed, exact = list(neardup.shingle_sets(pa.array(texts))), neardup.exact_sets(texts)
+    assert list(map(len, hashed)) == list(map(len, exact))
+    for i in range(0, len(texts) - 1, 7):
+        for j in range(i, len(texts), 11):
+            assert neardup.common(hashed[i], hashed[j]) == neardup.common(exact[i], exact[j])
+
+
+def template_texts(n, words=100, own=18):
+    rng = random.Random(n)
+    base = [f"w{i}" for i in range(words)]
+    return [(i, " ".join(base + [f"x{rng.randrange(10**9)}" for _ in range(own)])) for i in range(n)]
+
+
+def test_visits_of_a_crowded_node_without_links(spark, monkeypatch):
+    """Texts of one template, none linked: what all blocks read stays in proportion to the texts."""
+    rows = []
+    real = neardup._run_blocks
+
+    def counting(df, kind, limits):
+        rows.append(df.count())
+        return real(df, kind, limits)
+
+    monkeypatch.setattr(neardup, "_run_blocks", counting)
+    seen = []
+    for n in (750, 1500, 3000):
+        rows.clear()
+        texts = template_texts(n)
+        got = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        assert all(r.doc_id == r.component_id for r in got)
+        seen.append(rows[0])
+    assert seen[1] < 2.5 * seen[0] and seen[2] < 2.5 * seen[1], seen
+
+
+@pytest.mark.parametrize("wide", (1, 16))
+def test_visitors_meet_every_block(spark, corpus, wide, monkeypatch):
+    monkeypatch.setattr(neardup, "LEAF", 4)
+    monkeypatch.setattr(neardup, "WIDE", wide)
+    got = neardup.near_duplicates(spark.createDataFrame(corpus, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.doc_id == r.component_id) for r in got.collect()) == sorted(near_duplicates(corpus))
+
+
+def test_long_texts_and_rows_that_differ_elsewhere(spark):
+    long_ = " ".join(f"w{i % 50_000}" for i in range(200_000))
+    rows = [(1, long_, "a"), (2, long_ + " end", "b"), (3, "x y z", "a"), (3, "x y z", "b"), (3, "x y z", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    first, again = (sorted((r.doc_id, r["_key"]) for r in neardup.keep_one(docs.repartition(n)).collect()) for n in (1, 4))
+    assert first == again and [d for d, _ in first] == [1, 3]
