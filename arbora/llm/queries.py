@@ -18,6 +18,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_sharding": sharding.SQL,
     "op2_quality_rules": rules.SQL,
+    "op4_suffix_array_dedup": repeats.SQL,
     "op5_decontamination": decontaminate.SQL,
     "op7_near_duplicates": neardup.SQL,
     "op8_chat_formatting": chat.SQL,
