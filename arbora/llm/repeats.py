@@ -99,16 +99,28 @@ def _slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["h", "own", "c", "m", "key", "at", "piece"])
 
 
+def _ranked(values: np.ndarray) -> np.ndarray:
+    return np.unique(values, return_inverse=True)[1].astype(np.uint64)
+
+
+def _three(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """Numbers in the order of three ranks; places that lie past the end count as 0."""
+    n = len(first)
+    bits = np.uint64(int(max(x.max(initial=0) for x in (first, second, third))).bit_length())
+    pad = lambda x: np.r_[x, np.zeros(n - len(x), np.uint64)] if len(x) < n else x
+    if 3 * int(bits) <= 64:
+        return (((first << bits) | pad(second)) << bits) | pad(third)
+    return (_ranked((first << bits) | pad(second)) << bits) | pad(third)
+
+
 def suffix_array(data: np.ndarray, n: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(indices into place in the order of the LENGTH bytes from there, ties by place; whether each agrees with the one
     before in all of them). data: n bytes and 256 zeros."""
     packed = np.lib.stride_tricks.sliding_window_view(data, 8)[: n + 248].copy().view(">u8").ravel()
-    rank = np.unique(packed, return_inverse=True)[1].astype(np.uint64)
-    for width in (8, 16, 32, 64):  # ranks by the first 16, 32, 64, 128 bytes
-        ahead = np.zeros_like(rank)
-        ahead[:-width] = rank[width:]
-        rank = np.unique((rank << np.uint64(32)) | ahead, return_inverse=True)[1].astype(np.uint64)
-    key = (rank[place] << np.uint64(32)) | rank[place + LENGTH - 128]
+    rank = _ranked(packed)
+    for width in (8, 24):  # ranks by the first 24 bytes, then 72
+        rank = _ranked(_three(rank, rank[width:], rank[2 * width :]))
+    key = _three(*(rank[place + (LENGTH - 72) // 2 * i] for i in range(3)))
     order = np.argsort(key, kind="stable")
     return order, np.r_[False, key[order][1:] == key[order][:-1]]
 
@@ -313,7 +325,7 @@ SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 w AS (SELECT rid, i, md5(b[i:i + {LENGTH - 1}]) AS h FROM (SELECT rid, b, unnest(range(1, n - {LENGTH - 2})) AS i FROM d WHERE n >= {LENGTH})),
 twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
-starts AS (SELECT rid, i, i > lag(i) OVER (PARTITION BY rid ORDER BY i) + {LENGTH} AS apart FROM w SEMI JOIN twice USING (h)),
+starts AS (SELECT rid, i, coalesce(i > lag(i) OVER (PARTITION BY rid ORDER BY i) + {LENGTH}, false) AS apart FROM w SEMI JOIN twice USING (h)),
 runs AS (SELECT rid, min(i) AS s, max(i) + {LENGTH} AS e
   FROM (SELECT rid, i, count_if(apart) OVER (PARTITION BY rid ORDER BY i) AS k FROM starts) GROUP BY rid, k),
 gaps AS (SELECT rid, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 1) AS a, s - 1 AS z FROM runs

@@ -73,6 +73,18 @@ def test_previous_and_next_factors_by_enumeration():
             at += 1
 
 
+def test_suffix_arrays_of_many_suffixes():
+    """Ranks need more bits than there are windows; sorted windows must lie in byte order."""
+    import numpy as np
+
+    rng = random.Random(9)
+    data = bytes(rng.choices(b"ab", k=40_000))
+    place = np.arange(0, len(data) - 200, 37)
+    order, agrees = repeats.suffix_array(np.frombuffer(data + bytes(256), np.uint8), len(data), place)
+    want = sorted(range(len(place)), key=lambda i: (data[place[i] : place[i] + 200], i))
+    assert order.tolist() == want and not agrees.any()
+
+
 def test_the_arrays_decide_everything(spark, corpus, monkeypatch):
     """Without what the suffix array says nothing goes, whole copies included."""
     docs = spark.createDataFrame(corpus, "doc_id long, text string")
