@@ -2,15 +2,18 @@
 
 Each benchmark item gives windows of WINDOW consecutive words (a shorter item is one window). To contain a window a
 document must contain all its shingles, so the prefix that the set-join bound asks for is one shingle: the rarest one,
-by its count over all documents. Document shingles meet only these rarest ones; a match fixes where the window would
-have to start, the length and positional bounds drop those that don't fit, and the words there are compared exactly.
+by its count over all documents. One pass over the texts finds the places of the windows' shingles, as (row, place,
+shingle) without the texts; they give the counts, and those of rarest shingles are the candidates: each fixes where the
+window would have to start. The length and positional bounds drop those that don't fit. Only rows with a candidate are
+then read again, and the words there are compared exactly.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. Windows are broadcast only if there are at
-most BROADCAST_WINDOWS of them (so some MB at most), else joined by shuffle. Shingles are exploded and filtered within
-one generated loop: nothing is built for those that meet no window.
+most BROADCAST_WINDOWS of them (so some MB at most), else joined by shuffle, and candidate rows' keys if there are at most
+BROADCAST_ROWS. Shingles are exploded and filtered within one generated loop: nothing is built for those that meet no window.
 
 A null text has no words and is clean; an item without words has no window; a null item_id hits but isn't listed;
-repeated rows get equal results, repeated items count once; extra columns don't matter; empty tables give no rows.
+repeated rows get equal results, repeated items count once; a text of any length is one row's words; extra columns don't
+matter; empty tables give no rows.
 """
 
 from functools import reduce
@@ -19,8 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm.common import lower_ascii, row_key, table
+from arbora.staging import stage
 
-WINDOW, SHINGLE, BROADCAST_WINDOWS = 10, 3, 200_000
+WINDOW, SHINGLE, BROADCAST_WINDOWS, BROADCAST_ROWS = 10, 3, 200_000, 200_000
 #: what parts words; A-Z belong to words, as they do once lower-cased
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -52,21 +56,22 @@ def _hint(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def _places(docs: DataFrame, ks: list[int], match: DataFrame, cols: list[str]) -> DataFrame:
-    """Rows of docs (key, w) x match (k, s, ..) where w has the shingle s at the 0-based place p.
+def _places(docs: DataFrame, vocabulary: DataFrame, ks: list[int], small: bool) -> DataFrame:
+    """(key, p, k, s): rows of docs (key, w) have the shingle s of k words, one of the vocabulary's, at the 0-based place p.
 
     The outer form of explode keeps the optimizer from adding a filter that would split every text twice.
     """
+    at = docs.select("key", "w", F.posexplode_outer("w").alias("p", "_first"))
     parts = []
     for k in ks:
-        at = docs.select("key", "w", F.posexplode_outer("w").alias("p", "_first"))
-        parts.append(at.withColumn("s", _key(F.col("w"), F.col("p"), k)).join(match.filter(F.col("k") == k).drop("k"), "s").select(*cols))
+        said = at.select("key", "p", _key(F.col("w"), F.col("p"), k).alias("s"))
+        parts.append(said.join(_hint(vocabulary.filter(F.col("k") == k), small), "s").select("key", "p", "k", "s"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """(key, start, len, item_id): every place of every window in documents (key, w)."""
-    wins = windows(benchmark, size)
+    wins = stage(windows(benchmark, size), "windows")
     shape = wins.agg(F.count("*"), F.collect_set("k")).first()
     small, ks = shape[0] <= BROADCAST_WINDOWS, sorted(shape[1]) or [SHINGLE]
     shingles = reduce(
@@ -78,18 +83,23 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
             for k in ks
         ),
     ).drop("item_id").distinct()
-    vocabulary = shingles.select("k", "s").distinct()
-    seen = _places(docs, ks, _hint(vocabulary, small), ["s"]).groupBy("s").agg(F.count("*").alias("df"))
+    shingles = stage(shingles, "shingles")
+    found = stage(_places(docs, shingles.select("k", "s").distinct(), ks, small), "places")
     # the prefix of a window: its rarest shingle; a window with an unseen one can't occur
-    ranked = shingles.join(_hint(seen, small), "s")
+    seen = found.groupBy("k", "s").agg(F.count("*").alias("df"))
+    ranked = shingles.join(_hint(seen, small), ["k", "s"])
     rarest = ranked.groupBy("win_id", "win", "len", "k").agg(F.min(F.struct("df", "s", "o")).alias("r"), F.count("*").alias("n_seen"))
     rarest = rarest.filter("n_seen = len - k + 1").select("win_id", F.array_join("win", " ").alias("said"), "len", "k", "r.s", "r.o")
-    at = F.col("p") - F.col("o")
-    cand = _places(docs, ks, _hint(rarest, small), ["key", "w", "p", "o", "len", "said", "win_id"])
-    there = lower_ascii(F.array_join(F.slice("w", F.greatest(at, F.lit(0)) + 1, F.col("len")), " "))
-    found = cand.filter((at >= 0) & (at + F.col("len") <= F.size("w")) & (there == F.col("said")))
-    found = found.select("key", at.alias("start"), "len", "win_id")
-    return found.join(_hint(wins.select("win_id", "item_id"), small), "win_id").select("key", "start", "len", "item_id")
+    cand = found.join(_hint(rarest, small), ["k", "s"]).withColumn("start", F.col("p") - F.col("o")).filter("start >= 0")
+    cand = stage(cand.select("key", "start", "len", "said", "win_id").distinct(), "candidates")
+    rows = stage(cand.select("key").distinct(), "rows")
+    few = rows.count() <= BROADCAST_ROWS
+    # repeated rows are read once: they get equal results
+    texts = stage(docs.join(_hint(rows, few), "key", "left_semi").dropDuplicates(["key"]), "texts")
+    there = lower_ascii(F.array_join(F.slice("w", F.col("start") + 1, F.col("len")), " "))
+    fits = (F.col("start") + F.col("len") <= F.size("w")) & (there == F.col("said"))
+    sure = cand.join(texts, "key").filter(fits).select("key", "start", "len", "win_id")
+    return sure.join(_hint(wins.select("win_id", "item_id"), small), "win_id").select("key", "start", "len", "item_id")
 
 
 def _hit_words(spans: Column) -> Column:
