@@ -20,5 +20,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_
     ids = ids.withColumnRenamed("doc_id", "_id")
     # at most 2 * per_class ids
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).filter("text is not null")
-    found = {r.doc_id: (r.text, r._y) for r in rows.dropDuplicates(["doc_id"]).select("doc_id", "text", "_y").collect()}
+    one = rows.groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text"), F.max("_y").alias("_y"))
+    found = {r.doc_id: (r.text, r._y) for r in one.collect()}
     return [found[k] for k in sorted(found)]

@@ -6,12 +6,16 @@ break it. It is computed from the words' explicit subsequences, hashed to FEATUR
 marks inside them, are read as words too. A
 sentence's feature for a landmark word is the kernel of its best word, mapped by K^-1/2 of the landmarks (Nyström). A
 linear SVM (squared hinge) is trained on sentences: of the clean documents' sentences CLEAN at random are clean, of a toxic one the
-most suspicious is toxic, chosen anew in each round; sentences with letters inserted into their words are added. A
-document's score is a logistic function of its three worst sentences' margins and the share of bad sentences.
+most suspicious is toxic, chosen anew in each round; sentences with letters inserted into their words are added. A second
+SVM on the same landmarks is trained in the same way on single words: those of clean documents are clean, of a toxic one's
+distinct words the most suspicious share WORDS is toxic. A document's score is a logistic function of its three worst
+sentences' margins, the share of bad sentences, and the share and number of suspicious words among its distinct ones;
+suspicious are those that weigh more than all but RARE of the clean documents' words. The curve is fitted to what machines
+of one half of the sample say of the other.
 
 Training reads at most PER_CLASS labelled documents of each class; of their clean sentences the SVM sees CLEAN, SPOILED
 spoiled ones and HARD hard ones a round, so in long documents it misses most. Toxic documents are read whole. Whole texts are scored, each on its own, so skew,
-ties and repeated rows don't matter. A null or empty text scores 0; without labels of both classes all score 0. Extra columns don't matter; no rows, no result.
+ties, repeated rows and the length of a text don't matter. A null or empty text scores 0; without labels of both classes all score 0. Extra columns don't matter; no rows, no result.
 """
 
 import re
@@ -31,6 +35,8 @@ FEATURES, CACHE = 1 << 18, 250_000
 # Sentences that the SVM sees, so that long documents don't outgrow the driver: clean ones at random, spoiled clean ones,
 # and in each round the hardest ones once more as long as there are fewer than MOST.
 CLEAN, SPOILED, HARD, MOST = 10_000, 500, 2_000, 20_000
+WORDS = 0.03  # share of a toxic document's distinct words that are taken for toxic
+RARE = 0.002  # share of clean documents' distinct words that count as suspicious
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _INNER = re.compile(r"[\W_]+")
 _EDGES = ".,;:!?\"'()[]{}<>|#*$%&-_"
@@ -120,6 +126,8 @@ class Model:
     weight: np.ndarray  # in landmark space: the Nyström map is folded in
     bias: float
     curve: np.ndarray  # logistic weights of the document's features
+    word: np.ndarray  # the weight for single words
+    bad: float = np.inf  # words that weigh more are suspicious
     _rows: dict[str, int] = field(default_factory=dict, repr=False)
     _table: np.ndarray | None = field(default=None, repr=False)
     _marks: tuple | None = field(default=None, repr=False)
@@ -144,6 +152,10 @@ class Model:
             self._table[first : first + len(new)] = kernel(new, self._marks)
 
     def sentence_features(self, sents: list[list[str]]) -> np.ndarray:
+        return self.sentences_and_words(sents)[0]
+
+    def sentences_and_words(self, sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Each sentence's features, and the table's row of each of its words."""
         self.features({w for s in sents for w in s})
         ids = np.fromiter((self._rows[w] for s in sents for w in s), np.int64)
         starts = np.cumsum([0, *map(len, sents)])[:-1]
@@ -151,11 +163,12 @@ class Model:
         for i in range(0, len(sents), 512):  # a block of sentences at a time
             a, b = starts[i], starts[i + 512] if i + 512 < len(sents) else len(ids)
             out[i : i + 512] = np.maximum.reduceat(self._table[ids[a:b]], starts[i : i + 512] - a, axis=0)
-        return out
+        return out, ids
 
     def describe(self, texts) -> np.ndarray:
-        """Per text: margins of its three worst sentences, share of sentences on the wrong side, 1; nan without words."""
-        out = np.full((len(texts), 5), np.nan)
+        """Per text: margins of its three worst sentences, share of sentences on the wrong side, share and number of
+        suspicious ones among its distinct words, 1; nan without words."""
+        out = np.full((len(texts), 7), np.nan)
         sents, counts, words = [], [], 0
         for i, t in enumerate(texts):
             found = sentences(t)
@@ -163,13 +176,19 @@ class Model:
             counts.append((i, len(found)))
             words += sum(map(len, found))
             if words > 200_000 or i == len(texts) - 1:
-                margin = self.sentence_features(sents) @ self.weight + self.bias if sents else np.zeros(0)
+                if sents:
+                    features, ids = self.sentences_and_words(sents)
+                    margin = features @ self.weight + self.bias
+                    bad = self._table[: len(self._rows)] @ self.word.astype(np.float32) > self.bad
+                    ends = np.r_[0, np.cumsum([len(s) for s in sents])]
                 at = 0
                 for row, n in counts:
                     if n:
                         m = np.clip(margin[at : at + n], -2, 2)
                         top = np.r_[np.sort(m)[::-1][:3], [-1.0] * max(3 - n, 0)]
-                        out[row] = [*top, (m > 0).mean(), 1]
+                        own = np.unique(ids[ends[at] : ends[at + n]])
+                        k = bad[own].sum()
+                        out[row] = [*top, (m > 0).mean(), min(k / len(own) * 50, 3.0), min(np.log1p(k), 3.0), 1]
                     at += n
                 sents, counts, words = [], [], 0
         return out
@@ -211,8 +230,34 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
     return b
 
 
-def fit(sample: list[tuple[str, int]], share: float | None = None, seed: int = 1) -> Model | None:
-    """A model of (text, label) rows; None unless both labels occur. share: of label 1 where the sample came from."""
+def _word_machine(model: Model, root: np.ndarray, bags: list[list[str]], clean: Counter, weighed, odds: dict, rng: np.random.Generator) -> np.ndarray:
+    """The SVM of single words: those of clean documents are clean, of each toxic one the most suspicious WORDS of its
+    distinct words are toxic, chosen anew in each round."""
+    vocabulary = sorted(clean)
+    model.features({*vocabulary, *(w for d in bags for w in d)})
+    look = lambda words: model._table[[model._rows[w] for w in words]]
+    bags = [d for d in bags if d]
+    scores = [np.array([weighed(w) if w in odds else -9.0 for w in d]) for d in bags]
+    feats = [look(d) for d in bags]
+    usual = look(vocabulary)
+    chance = np.sqrt([clean[w] for w in vocabulary])
+    taken = rng.choice(len(vocabulary), min(CLEAN, len(vocabulary)), replace=False, p=chance / chance.sum())
+    weight = np.zeros(len(model.landmarks))
+    for _ in range(3):
+        chosen = [np.argsort(-sc)[: max(int(len(sc) * WORDS), 1)] for sc in scores]
+        positive = np.concatenate([f[k] for f, k in zip(feats, chosen)])
+        mass = np.concatenate([np.full(len(k), 1.0 / len(k) / len(bags)) for k in chosen])
+        negative = chance[taken] / chance[taken].sum()
+        x = np.r_[positive, usual[taken]] @ root
+        w, _ = _svm(x, np.r_[np.ones(len(positive)), -np.ones(len(taken))], np.r_[mass, 1.5 * negative])
+        weight = root @ w
+        scores = [f @ weight for f in feats]
+        taken = np.r_[taken, np.argsort(-(usual @ weight))[:HARD]]
+    return weight
+
+
+def _machines(sample: list[tuple[str, int]], seed: int) -> Model | None:
+    """The landmarks and the machines of sentences and words; None unless both labels occur among texts with words."""
     y = np.array([label for _, label in sample])
     if not (y == 1).any() or not (y == 0).any():
         return None
@@ -231,7 +276,7 @@ def fit(sample: list[tuple[str, int]], share: float | None = None, seed: int = 1
     marks += [rest[i] for i in rng.permutation(len(rest))[: LANDMARKS - len(marks)]]
     values, vectors = np.linalg.eigh(kernel(marks, landmark_table(marks)).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
-    model = Model(marks, np.zeros(len(marks)), 0.0, np.zeros(5))
+    model = Model(marks, np.zeros(len(marks)), 0.0, np.zeros(7), np.zeros(len(marks)))
 
     clean = [s for d, label in zip(docs, y) if not label for s in d]
     bags = [d for d, label in zip(docs, y) if label and d]
@@ -258,7 +303,28 @@ def fit(sample: list[tuple[str, int]], share: float | None = None, seed: int = 1
         chosen = [int(np.argmax(f @ model.weight)) for f in feats]
         hard = np.argsort(-(negative @ model.weight))[:HARD]
         negative = np.r_[negative, negative[hard]] if len(negative) < MOST else negative
-    x = model.describe([t for t, _ in sample])
+    model.word = _word_machine(model, root, [sorted({w for s in d for w in s if len(w) >= ORDER}) for d in bags], seen[0], weighed, odds, rng)
+    usual = sorted(seen[0])
+    model.features(set(usual))
+    spread = np.repeat(model._table[[model._rows[w] for w in usual]] @ model.word, [seen[0][w] for w in usual])
+    model.bad = float(np.quantile(spread, 1 - RARE))
+    return model
+
+
+def fit(sample: list[tuple[str, int]], share: float | None = None, seed: int = 1) -> Model | None:
+    """A model of (text, label) rows; None unless both labels occur. share: of label 1 where the sample came from.
+
+    The curve is fitted to what machines of one half of the sample say of the other half.
+    """
+    model = _machines(sample, seed)
+    if model is None:
+        return None
+    halves = [sample[::2], sample[1::2]]
+    others = [_machines(h, seed) for h in halves[::-1]]
+    if None in others:
+        halves, others = [sample], [model]
+    x = np.concatenate([m.describe([t for t, _ in h]) for m, h in zip(others, halves)])
+    y = np.array([label for h in halves for _, label in h])
     ok = ~np.isnan(x[:, 0])
     model.curve = _logistic(x[ok], y[ok], share or float((y == 1).mean()))
     return model

@@ -93,3 +93,21 @@ def test_the_bounds_on_training_sentences_are_named(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(toxicity, name, 40)
             assert not np.allclose(toxicity.fit(train).weight, usual), name
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    """(score, label) of the held-out documents of sf0.1, by the model that the operator trains."""
+    sf = "/root/testdata/sf0.1"
+    model = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = duckdb.sql(f"SELECT doc_id, text, toxic FROM '{sf}/documents.parquet' JOIN '{sf}/labels.parquet' USING (doc_id) WHERE toxic IS NOT NULL").fetchall()
+    rows = [(t, y) for d, t, y in rows if zlib.crc32(str(d).encode()) % toxicity.FOLDS == 0]
+    return model.scores([t for t, _ in rows]), np.array([y for _, y in rows])
+
+
+def test_held_out_recall_and_precision(judged):
+    score, y = judged
+    bad = score >= 0.5
+    assert (bad & (y == 1)).sum() >= 0.85 * y.sum()
+    assert (bad & (y == 1)).sum() >= 0.8 * bad.sum()
+    assert (bad == (y == 1)).mean() > max(y.mean(), 1 - y.mean()) + 0.05
