@@ -18,8 +18,10 @@ spoiled ones and HARD hard ones a round, so in long documents it misses most. To
 ties, repeated rows and the length of a text don't matter. A null or empty text scores 0; without labels of both classes all score 0. Extra columns don't matter; no rows, no result.
 """
 
+import pickle
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -337,12 +339,26 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, per_class: int
     return fit(labelled(docs, labels, "toxic", train_rows, per_class), share)
 
 
+_live: dict[bytes, Model] = {}
+
+
+def _kept(model: Model) -> Model:
+    """The model that this worker process already has, so that the words' kernels outlive a task."""
+    key = pickle.dumps(model)
+    if key not in _live:
+        _live.clear()
+        _live[key] = model
+    return _live[key]
+
+
 def score(text: Column, model: Model | None) -> Column:
     """Score of each text, 0 to 1."""
 
     @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(texts.tolist()))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = _kept(model)
+        for texts in parts:
+            yield pd.Series(own.scores(texts.tolist()))
 
     return F.lit(0.0) if model is None else run(text)
 
