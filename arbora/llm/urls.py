@@ -15,8 +15,9 @@ URL is blocked if the purity has come `threshold` of the way from the share of b
 Hosts of any size: every step is an aggregate with a map-side combine or an equi-join whose other side has one row a
 node, so one host with a third of all rows is split by adaptive execution.
 
-A null URL or one without `://` has an empty host and path. Repeated URLs count as often as they occur. Extra columns
-don't matter. No rows, no result.
+A null URL or one without `://` has an empty host and path. Repeated URLs count as often as they occur. A URL of any length
+and number of segments is grown only as far as its node needs. Segments `*` and `+` are escaped as %2A and %2B, so they
+are no wildcards. Extra columns don't matter. No rows, no result.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,7 +87,9 @@ def _variables(rows: DataFrame) -> DataFrame:
 
 def templates(urls: DataFrame) -> DataFrame:
     """(host, path, label, n) -> the same with `tokens`, the node of the whole path."""
-    rows = urls.withColumn("rest", F.array_remove(F.split("path", "/"), "")).withColumn("tokens", F.array().cast("array<string>"))
+    # a segment that is a wildcard's sign is escaped as in a URL
+    literal = lambda s: F.when(s == "*", "%2A").when(s == "+", "%2B").otherwise(s)
+    rows = urls.withColumn("rest", F.transform(F.array_remove(F.split("path", "/"), ""), literal)).withColumn("tokens", F.array().cast("array<string>"))
     ended = F.size("rest") == 0
     done, rows = rows.filter(ended), rows.filter(~ended)
     while not rows.isEmpty():
