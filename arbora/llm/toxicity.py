@@ -20,6 +20,7 @@ ties, repeated rows and the length of a text don't matter. A null or empty text
 
 import pickle
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,7 +34,7 @@ from arbora.llm.common import table
 from arbora.llm.samples import fold, labelled
 
 ORDER, DECAY, SPAN, LANDMARKS, PER_CLASS, FOLDS = 3, 0.75, 7, 112, 1000, 5
-FEATURES, CACHE = 1 << 18, 250_000
+FEATURES, CACHE = 1 << 18, 60_000
 # Sentences that the SVM sees, so that long documents don't outgrow the driver: clean ones at random, spoiled clean ones,
 # and in each round the hardest ones once more as long as there are fewer than MOST.
 CLEAN, SPOILED, HARD, MOST = 10_000, 500, 2_000, 20_000
@@ -151,7 +152,9 @@ class Model:
                 grown = np.zeros((first + len(new) + CACHE // 8, len(self.landmarks)), np.float32)
                 grown[:first] = self._table[:first]
                 self._table = grown
-            self._table[first : first + len(new)] = kernel(new, self._marks)
+            for i in range(0, len(new), 8192):  # a part at a time, beside the table
+                part = new[i : i + 8192]
+                self._table[first + i : first + i + len(part)] = kernel(part, self._marks)
 
     def sentence_features(self, sents: list[list[str]]) -> np.ndarray:
         return self.sentences_and_words(sents)[0]
@@ -216,7 +219,7 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 200, rid
     w = v = np.zeros(x1.shape[1])
     for k in range(steps):
         slack = np.maximum(0, 1 - y * (x1 @ v))
-        grad = -2 * (x1 * (weight * y * slack)[:, None]).sum(0) + ridge * np.r_[v[:-1], 0]
+        grad = -2 * (weight * y * slack) @ x1 + ridge * np.r_[v[:-1], 0]
         new = v - rate * grad
         v, w = new + k / (k + 3) * (new - w), new
     return w[:-1], float(w[-1])
@@ -232,30 +235,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
     return b
 
 
-def _word_machine(model: Model, root: np.ndarray, bags: list[list[str]], clean: Counter, weighed, odds: dict, rng: np.random.Generator) -> np.ndarray:
-    """The SVM of single words: those of clean documents are clean, of each toxic one the most suspicious WORDS of its
-    distinct words are toxic, chosen anew in each round."""
+def _word_machine(model: Model, root: np.ndarray, bags: list[list[str]], clean: Counter, weighed, odds: dict, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """The SVM of single words and what all but RARE of the clean ones weigh at most: those of clean documents are clean,
+    of each toxic one the most suspicious WORDS of its distinct words are toxic, chosen anew in each round."""
     vocabulary = sorted(clean)
-    model.features({*vocabulary, *(w for d in bags for w in d)})
-    look = lambda words: model._table[[model._rows[w] for w in words]]
     bags = [d for d in bags if d]
+    model.features({*vocabulary, *(w for d in bags for w in d)})
+    rows = [np.array([model._rows[w] for w in d]) for d in bags]
+    usual = np.array([model._rows[w] for w in vocabulary])
+    often = np.array([clean[w] for w in vocabulary])
+    chance = np.sqrt(often)
+    taken = rng.choice(len(usual), min(CLEAN, len(usual)), replace=False, p=chance / chance.sum())
     scores = [np.array([weighed(w) if w in odds else -9.0 for w in d]) for d in bags]
-    feats = [look(d) for d in bags]
-    usual = look(vocabulary)
-    chance = np.sqrt([clean[w] for w in vocabulary])
-    taken = rng.choice(len(vocabulary), min(CLEAN, len(vocabulary)), replace=False, p=chance / chance.sum())
-    weight = np.zeros(len(model.landmarks))
     for _ in range(3):
-        chosen = [np.argsort(-sc)[: max(int(len(sc) * WORDS), 1)] for sc in scores]
-        positive = np.concatenate([f[k] for f, k in zip(feats, chosen)])
+        chosen = [r[np.argsort(-sc)[: max(int(len(sc) * WORDS), 1)]] for r, sc in zip(rows, scores)]
+        positive = np.concatenate(chosen)
         mass = np.concatenate([np.full(len(k), 1.0 / len(k) / len(bags)) for k in chosen])
-        negative = chance[taken] / chance[taken].sum()
-        x = np.r_[positive, usual[taken]] @ root
-        w, _ = _svm(x, np.r_[np.ones(len(positive)), -np.ones(len(taken))], np.r_[mass, 1.5 * negative])
+        x = model._table[np.r_[positive, usual[taken]]] @ root
+        w, _ = _svm(x, np.r_[np.ones(len(positive)), -np.ones(len(taken))], np.r_[mass, 1.5 * chance[taken] / chance[taken].sum()])
         weight = root @ w
-        scores = [f @ weight for f in feats]
-        taken = np.r_[taken, np.argsort(-(usual @ weight))[:HARD]]
-    return weight
+        every = model._table[: len(model._rows)] @ weight.astype(np.float32)
+        scores = [every[r] for r in rows]
+        taken = np.r_[taken, np.argsort(-every[usual])[:HARD]]
+    return weight, float(np.quantile(np.repeat(every[usual], often), 1 - RARE))
 
 
 def _machines(sample: list[tuple[str, int]], seed: int) -> Model | None:
@@ -264,7 +266,7 @@ def _machines(sample: list[tuple[str, int]], seed: int) -> Model | None:
     if not (y == 1).any() or not (y == 0).any():
         return None
     rng = np.random.default_rng(seed)
-    docs = [sentences(t) for t, _ in sample]
+    docs = [[[*map(sys.intern, s)] for s in sentences(t)] for t, _ in sample]
     seen = {0: Counter(), 1: Counter()}
     for d, label in zip(docs, y):
         seen[int(label)].update({w for s in d for w in s if len(w) >= ORDER})
@@ -305,11 +307,7 @@ def _machines(sample: list[tuple[str, int]], seed: int) -> Model | None:
         chosen = [int(np.argmax(f @ model.weight)) for f in feats]
         hard = np.argsort(-(negative @ model.weight))[:HARD]
         negative = np.r_[negative, negative[hard]] if len(negative) < MOST else negative
-    model.word = _word_machine(model, root, [sorted({w for s in d for w in s if len(w) >= ORDER}) for d in bags], seen[0], weighed, odds, rng)
-    usual = sorted(seen[0])
-    model.features(set(usual))
-    spread = np.repeat(model._table[[model._rows[w] for w in usual]] @ model.word, [seen[0][w] for w in usual])
-    model.bad = float(np.quantile(spread, 1 - RARE))
+    model.word, model.bad = _word_machine(model, root, [sorted({w for s in d for w in s if len(w) >= ORDER}) for d in bags], seen[0], weighed, odds, rng)
     return model
 
 
@@ -318,18 +316,20 @@ def fit(sample: list[tuple[str, int]], share: float | None = None, seed: int = 1
 
     The curve is fitted to what machines of one half of the sample say of the other half.
     """
+    halves, said = [sample[::2], sample[1::2]], []
+    for half, rest in (halves, halves[::-1]):  # one at a time: their tables are large
+        other = _machines(rest, seed)
+        if other is not None:
+            said.append((other.describe([t for t, _ in half]), np.array([label for _, label in half])))
     model = _machines(sample, seed)
     if model is None:
         return None
-    halves = [sample[::2], sample[1::2]]
-    others = [_machines(h, seed) for h in halves[::-1]]
-    if None in others:
-        halves, others = [sample], [model]
-    x = np.concatenate([m.describe([t for t, _ in h]) for m, h in zip(others, halves)])
-    y = np.array([label for h in halves for _, label in h])
+    if len(said) < 2:
+        said = [(model.describe([t for t, _ in sample]), np.array([label for _, label in sample]))]
+    x, y = (np.concatenate(part) for part in zip(*said))
     ok = ~np.isnan(x[:, 0])
     model.curve = _logistic(x[ok], y[ok], share or float((y == 1).mean()))
-    return model
+    return pickle.loads(pickle.dumps(model))  # without its tables
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, per_class: int = PER_CLASS) -> Model | None:
