@@ -40,7 +40,7 @@ from arbora.llm.components import components
 from arbora.llm.shingles import Minwise, common, exact_sets, shingle_sets
 from arbora.staging import stage
 
-THRESHOLD, LEVELS, LEAF, WIDE, WEIGHT, SKETCH, FIRST, MISS = 85, 4, 64, 256, 1 << 22, 384, 3, 2e-4
+THRESHOLD, LEVELS, LEAF, WIDE, WEIGHT, SKETCH, FIRST, MISS = 85, 4, 64, 64, 1 << 21, 384, 3, 2e-4
 
 
 class _Limits:
@@ -246,16 +246,17 @@ def _by_block(kind: type, limits: _Limits, guests_at_once: int = 256):
             return pa.RecordBatch.from_arrays(cols, kind.names)
 
         for b in batches:
-            for r in b.to_pylist():
-                if r["grp"] != last:
-                    flush()
-                    last, home, opened = r["grp"], [], False
-                if r["home"]:
-                    home.append(r)
-                else:
-                    guests.append(r)
-                    if len(guests) == guests_at_once:
+            for i in range(0, len(b), guests_at_once):
+                for r in b.slice(i, guests_at_once).to_pylist():
+                    if r["grp"] != last:
                         flush()
+                        last, home, opened = r["grp"], [], False
+                    if r["home"]:
+                        home.append(r)
+                    else:
+                        guests.append(r)
+                        if len(guests) == guests_at_once:
+                            flush()
             if out:
                 yield batch()
         flush()

@@ -180,7 +180,7 @@ class Model:
             sents += found
             counts.append((i, len(found)))
             words += sum(map(len, found))
-            if words > 200_000 or i == len(texts) - 1:
+            if words > 50_000 or i == len(texts) - 1:
                 if sents:
                     features, ids = self.sentences_and_words(sents)
                     margin = features @ self.weight + self.bias
