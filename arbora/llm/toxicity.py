@@ -24,6 +24,7 @@ import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -49,7 +50,7 @@ def sentences(text: str | None) -> list[list[str]]:
     """Words of each sentence."""
     out = []
     for part in _SENTENCE.split((text or "").lower()):
-        words = [w for w in (x.strip(_EDGES) for x in part.split()) if w]
+        words = [*filter(None, map(str.strip, part.split(), repeat(_EDGES)))]
         if 1 in map(len, words):
             run = ""
             for w in [*words, "  "]:
@@ -66,7 +67,7 @@ def sentences(text: str | None) -> list[list[str]]:
     return out
 
 
-_GAPS = [(d1, d2) for d2 in range(2, SPAN) for d1 in range(1, d2)]
+_WEIGHTS = DECAY ** np.arange(1.0, 9.0)  # by the distance of the last letter from the first
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,49 +78,80 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     text = "".join("^" + w for w in words)
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
     owner = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
-    keys, weights = [], []
-    for d1, d2 in _GAPS:
-        n = len(codes) - d2
-        if n <= 0:
-            continue
+    keys = []
+    for d2 in range(2, SPAN):
+        n = max(len(codes) - d2, 0)
         same = np.flatnonzero(owner[:n] == owner[d2:])
-        mixed = (codes[same] * 1_000_003 + codes[same + d1]) * 1_000_003 + codes[same + d2]
-        feature = ((mixed * -7046029254386353131) >> 40) & (FEATURES - 1)
-        keys.append(owner[same] * FEATURES + feature)
-        weights.append(np.full(len(same), DECAY ** (d2 + 1)))
-    if not keys:
+        first, last, word = codes[same] * 1_000_003, codes[same + d2], owner[same] * FEATURES
+        for d1 in range(1, d2):
+            mixed = (first + codes[same + d1]) * 1_000_003 + last
+            # word, feature and distance in one number: sorting is all that grouping takes
+            keys.append(word + ((mixed * -7046029254386353131) >> 40 & (FEATURES - 1)) << 3 | d2)
+    keys = np.sort(np.concatenate(keys))
+    if not len(keys):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.float32)
-    found, at = np.unique(np.concatenate(keys), return_inverse=True)
-    weight = np.bincount(at, np.concatenate(weights))
+    found = keys >> 3
+    starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+    found, weight = found[starts], np.add.reduceat(_WEIGHTS[keys & 7], starts)
     word = found // FEATURES
     norm = np.sqrt(np.bincount(word, weight**2, len(words)))
     return word, found % FEATURES, (weight / norm[word]).astype(np.float32)
 
 
-def landmark_table(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each feature, or 0; rows x landmarks): weights of the features that some landmark has."""
+@dataclass
+class Marks:
+    """The landmarks' features: `rows` has the place of each feature, or 0; of place p, `mark` and `weight` from first[p] on, up to
+    first[p + 1], are the landmarks that have it and what it weighs there."""
+
+    rows: np.ndarray
+    first: np.ndarray
+    mark: np.ndarray
+    weight: np.ndarray
+    n: int
+
+
+def landmark_table(landmarks: list[str]) -> Marks:
     mark, feature, weight = subsequences(landmarks)
-    known, at = np.unique(feature, return_inverse=True)
+    order = np.argsort(feature, kind="stable")
+    known, counts = np.unique(feature, return_counts=True)
     rows = np.zeros(FEATURES, np.int32)
     rows[known] = np.arange(1, len(known) + 1)
-    out = np.zeros((len(known) + 1, len(landmarks)), np.float32)
-    out[at + 1, mark] = weight
-    return rows, out
+    return Marks(rows, np.r_[0, 0, np.cumsum(counts)], mark[order], weight[order].astype(np.float64), len(landmarks))
 
 
-def kernel(words: list[str], marks: tuple[np.ndarray, np.ndarray], batch: int = 400) -> np.ndarray:
+def kernel(words: list[str], marks: Marks, batch: int = 400) -> np.ndarray:
     """Normalised kernel of each word with each landmark of the table."""
-    rows, weights = marks
-    out = np.zeros((len(words), weights.shape[1]), np.float32)
+    out = np.zeros((len(words), marks.n), np.float32)
     for at in range(0, len(words), batch):
         word, feature, weight = subsequences(words[at : at + batch])
-        row = rows[feature]
-        shared = np.flatnonzero(row)  # most subsequences of a usual word occur in no landmark
-        if len(shared):
-            word, row, weight = word[shared], row[shared], weight[shared]
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            out[at + word[first]] = np.add.reduceat(weights[row] * weight[:, None], first, axis=0)
+        row = marks.rows[feature]
+        shared = np.flatnonzero(row)  # most subsequences of a usual word occur in no landmark, the others in a few
+        word, row, weight = word[shared], row[shared], weight[shared]
+        n = marks.first[row + 1] - marks.first[row]
+        place = np.repeat(marks.first[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        cell = np.repeat(word * marks.n, n) + marks.mark[place]
+        part = out[at : at + batch]
+        part[:] = np.bincount(cell, np.repeat(weight, n) * marks.weight[place], part.size).reshape(part.shape)
+    return out
+
+
+def best(table: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The greatest of each column over the rows `ids` of the table, for each run of `counts` ids."""
+    order = np.argsort(-counts, kind="stable")
+    starts, counts = (np.cumsum(counts) - counts)[order], counts[order]
+    top = table[ids[starts]]
+    k, n = 1, len(counts)
+    while n := int(np.searchsorted(-counts[:n], -k)):  # the runs of more than k ids
+        if n < 8:  # a few long runs: each by itself, in blocks
+            for i in range(n):
+                for a in range(starts[i] + k, starts[i] + counts[i], 4096):
+                    np.maximum(top[i], table[ids[a : min(a + 4096, starts[i] + counts[i])]].max(axis=0), out=top[i])
+            break
+        np.maximum(top[:n], table[ids[starts[:n] + k]], out=top[:n])
+        k += 1
+    out = np.empty_like(top)
+    out[order] = top
     return out
 
 
@@ -133,17 +165,18 @@ class Model:
     bad: float = np.inf  # words that weigh more are suspicious
     _rows: dict[str, int] = field(default_factory=dict, repr=False)
     _table: np.ndarray | None = field(default=None, repr=False)
-    _marks: tuple | None = field(default=None, repr=False)
+    _marks: Marks | None = field(default=None, repr=False)
+    _weighed: np.ndarray | None = field(default=None, repr=False)  # what the first rows' words weigh
 
     def __getstate__(self):
-        return self.__dict__ | {"_rows": {}, "_table": None, "_marks": None}
+        return self.__dict__ | {"_rows": {}, "_table": None, "_marks": None, "_weighed": None}
 
     def features(self, words: set[str]) -> None:
         """Make sure that the words' kernel rows are there. The table is dropped when it has grown to CACHE words."""
         if self._marks is None:
             self._marks = landmark_table(self.landmarks)
         if len(self._rows) > CACHE or self._table is None:
-            self._rows, self._table = {}, np.zeros((0, len(self.landmarks)), np.float32)
+            self._rows, self._table, self._weighed = {}, np.zeros((0, len(self.landmarks)), np.float32), None
         new = sorted(words - self._rows.keys())
         if new:
             first = len(self._rows)
@@ -161,13 +194,14 @@ class Model:
 
     def sentences_and_words(self, sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Each sentence's features, and the table's row of each of its words."""
-        self.features({w for s in sents for w in s})
-        ids = np.fromiter((self._rows[w] for s in sents for w in s), np.int64)
-        starts = np.cumsum([0, *map(len, sents)])[:-1]
+        self.features(set(chain.from_iterable(sents)))
+        ids = np.fromiter(map(self._rows.__getitem__, chain.from_iterable(sents)), np.int64)
+        counts = np.fromiter(map(len, sents), np.int64, len(sents))
+        ends = np.r_[0, np.cumsum(counts)]
         out = np.zeros((len(sents), len(self.landmarks)), np.float32)
         for i in range(0, len(sents), 512):  # a block of sentences at a time
-            a, b = starts[i], starts[i + 512] if i + 512 < len(sents) else len(ids)
-            out[i : i + 512] = np.maximum.reduceat(self._table[ids[a:b]], starts[i : i + 512] - a, axis=0)
+            part = counts[i : i + 512]
+            out[i : i + 512] = best(self._table, ids[ends[i] : ends[i + len(part)]], part)
         return out, ids
 
     def describe(self, texts) -> np.ndarray:
@@ -184,7 +218,9 @@ class Model:
                 if sents:
                     features, ids = self.sentences_and_words(sents)
                     margin = features @ self.weight + self.bias
-                    bad = self._table[: len(self._rows)] @ self.word.astype(np.float32) > self.bad
+                    known = np.zeros(0, np.float32) if self._weighed is None else self._weighed
+                    self._weighed = np.r_[known, self._table[len(known) : len(self._rows)] @ self.word.astype(np.float32)]
+                    bad = self._weighed > self.bad
                     ends = np.r_[0, np.cumsum([len(s) for s in sents])]
                 at = 0
                 for row, n in counts:
