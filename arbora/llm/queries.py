@@ -1,6 +1,6 @@
 """Queries and SQL of the operators in this subpackage."""
 
-from arbora.llm import chat, crf, decontaminate, mixing, neardup, repeats, rules, sharding, toxicity, urls
+from arbora.llm import chat, crf, decontaminate, mixing, neardup, packing, repeats, rules, sharding, toxicity, urls
 
 QUERIES = {
     "op1_sharding": sharding.digest,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_chat_formatting": chat.digest,
     "op9_mixing": mixing.digest,
     "op10_quality_classifier": crf.digest,
+    "op13_packing": packing.digest,
 }
 
 ORACLE_SQL = {
