@@ -134,6 +134,13 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def _encoder(name: str) -> Encoder:
+    """The worker's own, kept from task to task."""
+    if name not in _encoders:
+        _encoders[name] = Encoder(name)
+    return _encoders[name]
+
+
 def _cut(tokens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, length) of the pieces of texts of so many tokens: full windows, then the rest."""
     n = -(-tokens // window)
@@ -146,8 +153,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, en
     """PIECE rows: `ids` are little-endian unsigned 32-bit numbers, `_nth` counts pieces of a length within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(tokenizer, None) or Encoder(tokenizer)
-        _encoders[tokenizer] = encoder
+        encoder = _encoder(tokenizer)
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for b in batches:
             for first, data, offsets in string_chunks(b.column("text"), SLICE):
