@@ -1,6 +1,6 @@
 """Queries and SQL of the operators in this subpackage."""
 
-from arbora.llm import chat, crf, decontaminate, mixing, neardup, packing, repeats, rules, sharding, toxicity, urls
+from arbora.llm import chat, crf, decontaminate, divergence, mixing, neardup, packing, repeats, rules, search, sharding, toxicity, urls
 
 QUERIES = {
     "op1_sharding": sharding.digest,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_chat_formatting": chat.digest,
     "op9_mixing": mixing.digest,
     "op10_quality_classifier": crf.digest,
+    "op11_source_divergence": divergence.digest,
+    "op12_ranked_search": search.digest,
     "op13_packing": packing.digest,
 }
 
@@ -24,4 +26,6 @@ ORACLE_SQL = {
     "op7_near_duplicates": neardup.SQL,
     "op8_chat_formatting": chat.SQL,
     "op9_mixing": mixing.SQL,
+    "op11_source_divergence": divergence.SQL,
+    "op12_ranked_search": search.SQL,
 }
