@@ -7,9 +7,10 @@ exact quotas (counts at most one apart).
 
 Rows are ranked within an arc by a hash of the whole row, so the result depends on the rows alone, not on how they are
 partitioned or read; rows equal in every column are interchangeable. An arc of many rows, such as that of one id with a
-third of all, is cut into ranges of that hash of about PER_BUCKET rows, each ranked by one task. A row that is there more
-than HOT times is made from one copy and its count, in pieces that any task can take. Only the counts of the ranges and
-the HOT rows' hashes reach the driver: shards * vnodes + n / PER_BUCKET + n / HOT numbers.
+third of all, is cut into ranges of that hash of about PER_BUCKET rows and BUCKET_BYTES bytes, each ranked by one task; the
+ranks are the same however it is cut. A row that is there more than HOT times, equal in every column (compared, not only
+hashed), is made from one copy and its count, in pieces that any task can take. Only the counts of the ranges and
+the HOT rows' hashes reach the driver: shards * vnodes + n / PER_BUCKET + bytes / BUCKET_BYTES + n / HOT numbers.
 
 Slots are ranks within the shard, stepped through by a stride near the golden section of its size, so that rows of
 neighbouring ranks, such as copies of a document, lie far apart. Nulls and empty texts hash like values, texts of any
@@ -24,12 +25,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arbora.llm.common import packed, table, unpacked
 from arbora.staging import discard, stage
 
 SHARDS, VNODES, LOAD = 8, 64, 1.0
-PER_BUCKET, HOT, PIECE = 1 << 20, 1 << 20, 1 << 14
+PER_BUCKET, BUCKET_BYTES, HOT, PIECE = 1 << 20, 256 << 20, 1 << 20, 1 << 14
 RING_SEED = 1009
 DIGITS = 15  # of an MD5: 60 bits
 
@@ -108,9 +110,28 @@ def _number(text: Column, digits: int = DIGITS) -> Column:
     return F.conv(F.substring(text, 1, digits), 16, 10).cast("long")
 
 
-def _row_hash(row: Column, names: list[str]) -> Column:
-    """MD5 over the row's columns as text."""
-    return F.md5(F.concat_ws("|", *(F.coalesce(row[c].cast("string"), F.lit("\0")) for c in names)))
+#: columns whose text tells their values apart
+_PLAIN = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+
+
+def _said(row: Column, field: T.StructField) -> Column:
+    """The column's text, after its length, so that no two rows are said alike; null apart."""
+    value = row[field.name]
+    text = value.cast("string") if isinstance(field.dataType, _PLAIN) else F.to_json(F.struct(value))
+    return F.when(value.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text))
+
+
+def _row_hash(row: Column, schema: T.StructType) -> Column:
+    """MD5 over the row's columns."""
+    return F.md5(F.concat(*(_said(row, f) for f in schema)))
+
+
+def _copies(rows: DataFrame, schema: T.StructType, hashes: list[str]) -> set[str]:
+    """Those of the hashes whose rows are all one row."""
+    some = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in hashes], "_hash string")), "_hash")
+    said = F.concat(*(_said(F.col("_arbora_row"), f) for f in schema))
+    ends = some.groupBy("_hash").agg(F.min(said).alias("_least"), F.max(said).alias("_most"))
+    return {r["_hash"] for r in ends.filter("_least = _most").select("_hash").collect()}
 
 
 def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, vnodes: int = VNODES, load: float = LOAD) -> DataFrame:
@@ -119,11 +140,16 @@ def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, vnodes: i
     ring = Ring.build(shards, vnodes)
     row = F.col("_arbora_row")
     position = _number(F.md5(F.concat_ws("|", F.lit(str(RING_SEED + 1)), row[key].cast("string"))))
-    rows = packed(docs).withColumn("_arc", ring.arc(position)).withColumn("_hash", _row_hash(row, docs.columns))
-    keys = stage(rows.select("_arc", F.unhex("_hash").alias("_hash")), "ring")
+    rows = packed(docs).withColumn("_arc", ring.arc(position)).withColumn("_hash", _row_hash(row, docs.schema))
+    wide = [F.octet_length(row[f.name]) for f in docs.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    width = sum((F.coalesce(w, F.lit(0)).cast("long") for w in wide), F.lit(8 * len(docs.columns)).cast("long"))
+    keys = stage(rows.select("_arc", F.unhex("_hash").alias("_hash"), width.alias("_width")), "ring")
     hot = keys.groupBy("_arc", "_hash").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).collect()  # n / HOT rows at most
-    sizes = {r["_arc"]: r["n"] for r in keys.groupBy("_arc").agg(F.count("*").alias("n")).collect()}
-    parts = [max(-(-sizes.get(k, 0) // PER_BUCKET), 1) for k in range(shards * vnodes)]
+    same = _copies(rows, docs.schema, [r["_hash"].hex() for r in hot]) if hot else set()
+    hot = [r for r in hot if r["_hash"].hex() in same]
+    parts = [1] * (shards * vnodes)
+    for r in keys.groupBy("_arc").agg(F.count("*").alias("n"), F.sum("_width").alias("bytes")).collect():
+        parts[r["_arc"]] = max(-(-r["n"] // PER_BUCKET), -(-r["bytes"] // BUCKET_BYTES), 1)
     spots = [(r["_arc"], parts[r["_arc"]] + i, r["n"], r["_hash"].hex()) for i, r in enumerate(hot)]
 
     if max(parts) > 1:
@@ -132,7 +158,7 @@ def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, vnodes: i
     else:
         bucket = F.lit(0)
     named = rows
-    counted = keys.withColumn("_hash", F.lower(F.hex("_hash")))
+    counted = keys.select("_arc", F.lower(F.hex("_hash")).alias("_hash"))
     if spots:
         big = F.broadcast(spark.createDataFrame([(h,) for *_, h in spots], "_hash string"))
         counted, named = counted.join(big, "_hash", "left_anti"), rows.join(big, "_hash", "left_anti")
@@ -185,7 +211,7 @@ d AS (SELECT row_number() OVER () AS rid, doc_id, CAST(coalesce(strlen(text), 0)
 pts AS (SELECT row_number() OVER (ORDER BY p, s) - 1 AS k, p, s FROM (
     SELECT s, CAST('0x' || substr(md5('{RING_SEED}|' || s || '|' || v), 1, {DIGITS}) AS BIGINT) AS p
     FROM (SELECT unnest(range({SHARDS})) AS s), (SELECT unnest(range({VNODES})) AS v))),
-a AS (SELECT rid, doc_id, size, crc, md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), chr(0)), size, crc)) AS h,
+a AS (SELECT rid, doc_id, size, crc, md5(CASE WHEN doc_id IS NULL THEN '-' ELSE length(CAST(doc_id AS VARCHAR)) || ':' || doc_id END || length(CAST(size AS VARCHAR)) || ':' || size || length(CAST(crc AS VARCHAR)) || ':' || crc) AS h,
     (SELECT count(*) FROM pts WHERE p < pos) % {SHARDS * VNODES} AS k FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY h) AS rank FROM a),
 total AS (SELECT list(n // {SHARDS} + CASE WHEN s < n % {SHARDS} THEN 1 ELSE 0 END ORDER BY s) AS q FROM (SELECT count(*) AS n FROM d), (SELECT unnest(range({SHARDS})) AS s)),

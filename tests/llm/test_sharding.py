@@ -60,3 +60,29 @@ def test_mixing_draws_alike_whether_rates_are_broadcast_or_salted(spark, monkeyp
     few = draw()
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     assert few == draw() and abs(sum(few.values()) - 60_000) < 1500
+
+
+def test_rows_that_look_alike_are_not_copies(spark, monkeypatch):
+    """Columns joined to one text, and nulls written as one, must not make two rows one."""
+    monkeypatch.setattr(sharding, "HOT", 1)
+    rows = [(1, "a|b", "c"), (1, "a", "b|c"), (1, None, "x"), (1, "\0", "x"), (1, "-", "x"), (1, "", None), (1, None, "")] + [(1, "same", "same")] * 9
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string, lang string"), shards=2).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text, r.lang) for r in got))) == sorted(map(repr, rows))
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(2) for i in range(8)]
+
+
+def test_rows_of_one_hash_are_compared_before_they_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT", 1)
+    monkeypatch.setattr(sharding, "_row_hash", lambda row, schema: F.md5(F.lit("one for all")))
+    rows = [(1, "a")] * 5 + [(1, "b")] * 5
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), shards=2).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == rows
+
+
+def test_arcs_cut_by_bytes_or_rows_give_the_same_slots(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 5, "x" * (i % 90), [i, None]) for i in range(400)], "doc_id long, text string, extra array<int>")
+    want = sorted(map(str, sharding.assign(docs).collect()))
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 900)
+    assert sorted(map(str, sharding.assign(docs).collect())) == want
+    monkeypatch.setattr(sharding, "PER_BUCKET", 7)
+    assert sorted(map(str, sharding.assign(docs).collect())) == want
