@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from arbora.llm.common import packed, table, text_or_empty, unpacked
 
 SPACE = r"[\x20\x09-\x0D]+"
-PACKED_WORDS = 1 << 15
 
 #: name -> (bit, SQL condition that fails it); bits are never reused
 RULES = {
@@ -39,18 +38,34 @@ def mask(policy: str) -> int:
     return sum(1 << RULES[r][0] for r in POLICIES[policy])
 
 
-def _window_sorts(words: Column, n: Column) -> dict[str, Column]:
-    """The 3-word windows of a document, equal ones next to each other.
+def _with_repeats(rows: DataFrame) -> DataFrame:
+    """rows (_words, n_words) with `_places`: sorted places of the 3-word windows that are there more than once, some given twice.
 
-    Each window's hash and position are packed into one long, so that a primitive sort brings equal windows
-    together; documents of more than PACKED_WORDS words sort (64-bit hash, position) pairs instead.
+    Each window's hash, and its place in as many low bits as the document needs, make one long, so that a primitive sort brings
+    equal hashes together; the words of neighbours are then compared. If windows of one hash differ, this document's
+    windows are sorted themselves. Every step is a column of its own: within a lambda an expression would run for each element.
     """
-    places = F.sequence(F.lit(0), n - 3)
-    window = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-    return {
-        "packed": F.sort_array(F.transform(places, lambda i: F.shiftleft(window(i), 15).bitwiseOR(i.cast("long")))),
-        "pairs": F.sort_array(F.transform(places, lambda i: F.struct(window(i).alias("h"), i.cast("long").alias("p")))),
-    }
+    n = F.col("n_words").cast("int")
+    places, neighbours = F.sequence(F.lit(0), n - 3), F.sequence(F.lit(1), n - 3)
+    window = lambda i: [F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)]
+    shift = lambda way, x: F.call_function(way, x, F.col("_bits"))
+    at = lambda c, i: F.get(F.col(c), i)
+    place = lambda x: x.bitwiseAND(F.col("_low"))
+    said = lambda x: F.concat_ws(" ", *window(place(x).cast("int")))
+
+    rows = rows.withColumn("_bits", F.length(F.bin("n_words")))
+    rows = rows.withColumn("_low", shift("shiftleft", F.lit(1).cast("long")) - 1)
+    hashed = F.transform(places, lambda i: shift("shiftleft", F.xxhash64(*window(i))).bitwiseOR(i.cast("long")))
+    rows = rows.withColumn("_hashed", F.when(n >= 4, F.sort_array(hashed)))
+    rows = rows.withColumn("_alike", F.filter(neighbours, lambda i: shift("shiftright", at("_hashed", i)) == shift("shiftright", at("_hashed", i - 1))))
+    rows = rows.withColumn("_alike", F.when(n >= 4, F.col("_alike")))
+    rows = rows.withColumn("_differ", F.coalesce(F.exists("_alike", lambda i: said(at("_hashed", i)) != said(at("_hashed", i - 1))), F.lit(False)))
+    whole = F.transform(places, lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("w"), i.cast("long").alias("p")))
+    rows = rows.withColumn("_whole", F.when(F.col("_differ"), F.sort_array(whole)))
+    exact = F.filter(neighbours, lambda i: at("_whole", i)["w"] == at("_whole", i - 1)["w"])
+    both = F.when(F.col("_differ"), F.flatten(F.transform(exact, lambda i: F.array(at("_whole", i)["p"], at("_whole", i - 1)["p"]))))
+    both = both.otherwise(F.flatten(F.transform("_alike", lambda i: F.array(place(at("_hashed", i)), place(at("_hashed", i - 1))))))
+    return rows.withColumn("_places", F.sort_array(both)).drop("_bits", "_low", "_hashed", "_alike", "_differ", "_whole")
 
 
 def _covered(places: Column) -> Column:
@@ -78,19 +93,8 @@ def measure(rows: DataFrame, text: Column) -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
     )
-    n = F.col("n_words").cast("int")
-    sorts = _window_sorts(F.col("_words"), n)
-    short, long_ = (n >= 3) & (n <= PACKED_WORDS), n > PACKED_WORDS
-    out = out.withColumns({"_packed": F.when(short, sorts["packed"]), "_pairs": F.when(long_, sorts["pairs"])})
-    key = lambda x: F.shiftright(x, 15)
-    twice = lambda a, x, i, k: k(x).eqNullSafe(k(F.get(a, i - 1))) | k(x).eqNullSafe(k(F.get(a, i + 1)))
-    packed_places = F.transform(
-        F.filter("_packed", lambda x, i: twice(F.col("_packed"), x, i, key)), lambda x: x.bitwiseAND(F.lit(PACKED_WORDS - 1).cast("long"))
-    )
-    pair_places = F.transform(F.filter("_pairs", lambda x, i: twice(F.col("_pairs"), x, i, lambda y: y["h"])), lambda x: x["p"])
-    places = F.when(short, F.sort_array(packed_places)).when(long_, F.sort_array(pair_places))
-    out = out.withColumn("n_repeat_words", F.coalesce(_covered(places), F.lit(0).cast("long")))
-    return out.drop("_words", "_packed", "_pairs")
+    out = _with_repeats(out).withColumn("n_repeat_words", F.coalesce(_covered(F.col("_places")), F.lit(0).cast("long")))
+    return out.drop("_words", "_places")
 
 
 def ledger(docs: DataFrame) -> DataFrame:
