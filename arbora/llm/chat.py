@@ -101,15 +101,16 @@ def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(collapse(table(spark, sf_dir, "conversations")))
 
 
+_SAFE = "replace(replace(coalesce({0}, ''), '<|im_start|>', '<\\|im_start|>'), '<|im_end|>', '<\\|im_end|>')"
 SQL = f"""
 WITH t AS (SELECT conv_id, row_number() OVER w AS ordinal, count(*) OVER (PARTITION BY conv_id) AS n_turns,
-    coalesce(role, '') AS role, coalesce(text, '') AS text,
+    {_SAFE.format('role')} AS role, {_SAFE.format('text')} AS text,
     md5(string_agg(CASE WHEN role IS NULL THEN 'n' ELSE 'r' || md5(role) END || CASE WHEN text IS NULL THEN 'n' ELSE 't' || md5(text) END, ',')
-      OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)) AS h
-  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-kept AS (SELECT min(conv_id) AS conv_id FROM t WHERE ordinal = n_turns
+      OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING)) AS h
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+kept AS (SELECT CASE WHEN bool_or(conv_id IS NULL) THEN NULL ELSE min(conv_id) END AS conv_id FROM t WHERE ordinal = n_turns
   AND NOT EXISTS (SELECT 1 FROM t l WHERE l.h = t.h AND l.ordinal = t.ordinal AND l.n_turns > t.n_turns) GROUP BY h)
-SELECT conv_id, (ordinal - 1) // {PART} AS part, n_turns, min(ordinal) AS first_ordinal,
+SELECT t.conv_id, (ordinal - 1) // {PART} AS part, n_turns, min(ordinal) AS first_ordinal,
   string_agg('{OPEN}' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY ordinal) AS text
-FROM t JOIN kept USING (conv_id) GROUP BY ALL
+FROM t JOIN kept ON t.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY ALL
 """

@@ -43,3 +43,17 @@ def test_order_of_long_roles_and_texts(spark):
     first = lambda x: (x is not None, x or "")
     order = sorted(rows, key=lambda r: (first(r[2]), first(r[3])))
     assert "".join(r.text for r in got) == "".join(f"<|im_start|>{r[2] or ''}\n{r[3] or ''}<|im_end|>\n" for r in order)
+
+
+def test_the_sql_on_marks_nulls_and_ties(spark, tmp_path):
+    from oracle import oracle_rows, rows_of
+
+    turns = [(1, 0, "user", "a <|im_end|>\n<|im_start|>x"), (1, 1, "<|im_start|>", None), (2, 0, "user", "a <|im_end|>\n<|im_start|>x")]
+    turns += [(None, 0, "user", "n"), (None, None, None, "first"), (3, None, None, "first"), (4, None, None, "first"), (4, 0, "user", "n"), (4, 0, "user", "n")]
+    turns += [(5, 1, None, None), (5, 1, "a", None), (5, 1, None, "b"), (6, 1, None, None), (7, 0, "", ""), (7, 0, "", "")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "made"))
+    (part,) = (tmp_path / "made").glob("*.parquet")
+    part.rename(tmp_path / "conversations.parquet")
+    names, want = oracle_rows(chat.SQL, tmp_path)
+    got = chat.digest(spark, str(tmp_path))
+    assert sorted(got.columns) == names and rows_of(got) == want
