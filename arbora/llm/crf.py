@@ -182,7 +182,7 @@ def score(text: Column, model: Model | None) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(model.scores(texts.tolist()))
 
-    return F.when(F.trim(text) == "", 0.0).otherwise(1.0) if model is None else run(text)
+    return F.when(~F.rlike(text, F.lit(r"[^\x20\x09-\x0D]")), 0.0).otherwise(1.0) if model is None else run(text)
 
 
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
