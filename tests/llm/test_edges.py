@@ -51,6 +51,42 @@ def test_rules_ledger(spark, docs):
     assert out["few_words"].n_failed == 3
 
 
+def test_ablation_by_hand(spark):
+    """Each rule alone, two together, and repeated rows."""
+    long_ = " ".join(f"w{i}a{i}" for i in range(60))
+    texts = [long_, "few", long_ + " #" * 30, long_ + " #" * 30, "a b c " * 40, "x\n" * 60, long_ + " " + "! " * 0 + "!! " * 40]
+    book = rules.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    fails = {r.doc_id: {n for n, (bit, _) in rules.RULES.items() if r.fail_bits >> bit & 1} for r in book.collect()}
+    assert fails[0] == set() and fails[1] == {"few_words"} and fails[2] == fails[3] and "symbols" in fails[2]
+    policy = rules.POLICIES["v2"]
+    kept = sum(not f for f in fails.values())
+    for r in rules.ablation(book).collect():
+        only = sum(f == {r.rule} for f in fails.values())
+        assert (r.policy, r.n, r.kept) == ("v2", 7, kept)
+        assert (r.n_failed, r.n_only, r.kept_without) == (sum(r.rule in f for f in fails.values()), only, kept + only)
+    common = set.intersection(*fails.values())
+    assert {(r.seen, r.common) for r in rules.ablation(book).collect()} == {(sum(1 << rules.RULES[n][0] for n in set.union(*fails.values())), sum(1 << rules.RULES[n][0] for n in common))}
+    assert set(policy) == set(rules.RULES)
+
+
+def repeated(text):
+    w = text.split()
+    at = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    return len({i + o for i in range(len(w) - 2) if at[tuple(w[i : i + 3])] > 1 for o in range(3)})
+
+
+def test_windows_of_one_hash_are_compared(spark, monkeypatch):
+    # these two windows agree in the leading 49 bits of their hashes
+    texts = ["a b 2787042 " + " ".join(f"u{i}" for i in range(60)) + " a b 10399473", "", "a", "a b c", "a b c d", "a b c a b c", "a a a a", "a b a b a", "x y z " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id long, text string")
+    want = sorted((i, repeated(t)) for i, t in enumerate(texts)) * 2
+    assert sorted((r.doc_id, r.n_repeat_words) for r in rules.ledger(docs).collect()) == sorted(want)
+    # all windows of one hash
+    monkeypatch.setattr(rules.F, "xxhash64", lambda *_: rules.F.lit(1).cast("long"))
+    few = docs.filter("doc_id < 8")
+    assert sorted((r.doc_id, r.n_repeat_words) for r in rules.ledger(few).collect()) == sorted(w for w in want if w[0] < 8)
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "nothing"), (3, "HTTP://EX.Org?x"), (4, "a://Sub.EXAMPLE.org/en/12"), (5, "a://x.com/de/?q"), (6, "a://badexample.org/es/"), (7, "a://x.com/en")]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
@@ -141,7 +177,7 @@ def test_pipeline_on_a_small_table(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     few = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
     assert few.columns == docs.columns
-    want = {r[2] for r in near_duplicates([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])}
+    want = {r[2] for r in near_duplicates([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], corpus_pipeline.NEAR)}
     assert sorted(r.doc_id for r in few.collect()) == sorted(want)
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == [*docs.columns, "shard", "slot"]
