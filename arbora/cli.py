@@ -6,10 +6,13 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from arbora.functions.bytepaths import byte_order
 from arbora.functions.hashing import with_file_hash
 from arbora.functions.names import JUNK_PARTS, accepts
 from arbora.functions.sizes import human_size
 from arbora.operators import caches, compare, dedup, emptydirs, junk
+from arbora.operators.overlap import owned_once
+from arbora.operators.rollup import enclosing
 from arbora.plans.actions import plan_duplicates, plan_paths
 from arbora.plans.sinks import apply_plan, failures, remove_dirs
 from arbora.report import check_target, compare_report, write_lines
@@ -30,19 +33,18 @@ def _compare(spark, args) -> None:
     mode = args.hash_mode or ("smart" if args.hash else "off")
     a, b = files_of(scan_tree(spark, args.a, "a")), files_of(scan_tree(spark, args.b, "b"))
     diff = stage(compare.compare_trees(a, b, mode, args.mode, with_file_hash), "diff")
-    lines = compare_report(diff, args.mode).orderBy("section", "rank", "line")
-    write_lines(lines, F.col("line"), args.out)
+    write_lines(compare_report(diff, args.mode), F.col("line"), ["section", "rank", byte_order(F.col("line"))], args.out)
 
 
 def _dedup(spark, args) -> None:
     check_target(args.out)
     reference = files_of(scan_tree(spark, args.reference, "reference"))
-    entries = scan_trees(spark, args.cleanup, "cleanup")
+    entries = owned_once(scan_trees(spark, args.cleanup, "cleanup"))
     if args.mode == "path":
         print("Warning: equal paths are taken for equal files; contents aren't compared.")
     found = dedup.group_duplicates(dedup.find_duplicates(reference, files_of(entries), args.mode, with_file_hash))
     plan = stage(plan_duplicates(found, args.move_to or ""), "plan")
-    write_lines(plan.orderBy("group_id", "path"), F.concat_ws(" ", "action", "path", "dest"), args.out)
+    write_lines(plan, F.concat_ws(" ", "action", "path", "dest"), ["group_id", byte_order(F.col("path"))], args.out)
     n = plan.count()
     if not n or not _asked(f"{'Move' if args.move_to else 'Delete'} {n} files? [y/N]"):
         return
@@ -60,14 +62,14 @@ def _dedup(spark, args) -> None:
 def _junk(spark, args) -> None:
     check_target(args.out)
     found = stage(junk.find_junk(scan_tree(spark, args.dir, contains=JUNK_PARTS)).select(F.col("abs").alias("path")), "junk")
-    write_lines(found.orderBy("path"), F.col("path"), args.out)
+    write_lines(found, F.col("path"), [byte_order(F.col("path"))], args.out)
     n = found.count()
     if n and _asked(f"Delete {n} files? [y/N]"):
         failures(apply_plan(plan_paths(found, "delete"), confirm=True, workers=args.workers or 8)).show()
 
 
 def _caches(spark, args) -> None:
-    parts = [caches.cache_sizes(scan_tree(spark, r), d) for r, d in usable_roots(cache_roots())]
+    parts = [caches.cache_sizes(scan_tree(spark, r, max_depth=d, caches="sizes"), d) for r, d in usable_roots(cache_roots())]
     if not parts:
         return print("No scan roots.")
     found = parts[0]
@@ -75,11 +77,13 @@ def _caches(spark, args) -> None:
         found = found.unionByName(p)
     found = stage(found, "caches")
     text = F.coalesce(human_size(F.col("size")), F.lit("size unknown"))
-    write_lines(found.orderBy("path"), F.concat_ws("  ", "path", text))
+    write_lines(found, F.concat_ws("  ", "path", text), [byte_order(F.col("path"))])
     print("Total:", caches.cache_total(found).first()["text"])
     action = "empty" if args.empty else "delete"
     if args.force and _asked(f"{action} these directories? [y/N]"):
-        failures(apply_plan(plan_paths(found.select("path").distinct(), action), confirm=True)).show()
+        # of targets in one another the outermost alone: to empty or delete it does the same to the others
+        targets = enclosing(found.select("path").distinct(), found.select("path")).filter("path = outer").select("path")
+        failures(apply_plan(plan_paths(targets, action), confirm=True)).show()
 
 
 def parser() -> argparse.ArgumentParser:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from arbora.functions.names import is_cache_name
 from arbora.functions.paths import base_name, join_path, outermost_match
 from arbora.functions.sizes import human_size
+from arbora.operators.rollup import enclosing
 from arbora.schema import UNLISTED
 
 
@@ -46,13 +47,7 @@ def find_cache_dirs(entries: DataFrame, max_depth: Column | int = 0, distinct_ta
     if not distinct_targets:
         return targets
     once = targets.distinct()
-    parts = F.split("path", "/")
-    above = once.select(
-        F.col("path").alias("_inner"),
-        F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("path"),
-    ).filter("path <> _inner")
-    covered = above.join(once, "path", "left_semi").select(F.col("_inner").alias("path")).distinct()
-    return once.join(covered, "path", "left_anti")
+    return enclosing(once, once).filter("path = outer").select("path")
 
 
 def cache_total(sizes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.functions.hashing import hash_matching
 from arbora.staging import stage
 
 MODES = ("off", "smart", "strict")
@@ -45,17 +46,21 @@ def only_in(a: DataFrame, b: DataFrame, mode: str = "off", hasher=None) -> DataF
 
 def hashed_once(a: DataFrame, b: DataFrame, mode: str, hasher) -> tuple[DataFrame, DataFrame]:
     """Both sides listed once and staged, with `hash` where only content can decide: each such file is read once, whichever
-    directions are asked for. Elsewhere the hash is null, and no comparison looks at it."""
+    directions are asked for, and whole only if its ends are those of a file of the other side. Elsewhere the hash is null,
+    which matches nothing."""
     sides = [stage(d, "files") for d in (a, b)]
-    out = []
+    wanted = []
     for mine, other in (sides, sides[::-1]):
         needed = same_size(mine, other)
         if mode == "smart":  # either has no partner by path, or may be the content of one that hasn't
             alone = mine.join(other.select("rel"), "rel", "left_anti")
             others_alone = other.join(mine.select("rel"), "rel", "left_anti")
             needed = same_size(alone, other).unionByName(same_size(mine, others_alone)).dropDuplicates(["abs"])
-        hashes = stage(hasher(needed).select("abs", "hash"), "hashes")
-        out.append(mine.drop("hash").join(hashes, "abs", "left").select(*(c for c in mine.columns if c != "hash"), "hash"))
+        wanted.append(needed)
+    out = []
+    for mine, hashed in zip(sides, hash_matching(*wanted, hasher)):
+        own = [c for c in mine.columns if c != "hash"]
+        out.append(mine.select(own).join(hashed.select("abs", "hash"), "abs", "left").select(*own, "hash"))
     return out[0], out[1]
 
 

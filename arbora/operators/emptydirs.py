@@ -3,28 +3,25 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.functions.paths import ancestor_dirs, path_depth
+from arbora.operators.rollup import directory_totals
 
 
 def directories(entries: DataFrame) -> DataFrame:
     """(tree, root, dir) of listed directories and of every directory above a file, the root ('') included."""
-    listed = entries.filter("is_dir").select("tree", "root", F.col("rel").alias("dir"))
-    above = entries.select("tree", "root", F.explode(ancestor_dirs(F.col("rel"))).alias("dir")).filter("dir is not null")
-    return listed.unionByName(above).distinct()
+    return directory_totals(entries).select("tree", "root", "dir")
 
 
 def empty_dirs(entries: DataFrame, removed: DataFrame | None = None, keep_root: bool = False) -> DataFrame:
     """(tree, root, dir, depth): directories below which no entry but directories survives.
 
-    removed: rows (tree, root, rel) of files that go; without a root column a path goes from every root. Set form of a post-order walk: all directories, less every ancestor
-    of a surviving file; links and special files are files here. The root itself is among them unless keep_root.
-    Remove in descending depth.
+    removed: rows (tree, root, rel) of files that go; without a root column a path goes from every root. One pass over the sorted
+    entries counts what survives below each directory; links and special files are files here. The root itself is among them
+    unless keep_root. Remove in descending depth.
     """
-    files = entries.filter("not is_dir")
+    survives = None
     if removed is not None:
         key = [c for c in ("tree", "root", "rel") if c in removed.columns]
-        files = files.join(removed.select(key).distinct(), key, "left_anti")
-    held = files.select("tree", "root", F.explode(ancestor_dirs(F.col("rel"))).alias("dir")).distinct()
-    out = directories(entries).join(held, ["tree", "root", "dir"], "left_anti")
-    out = out.withColumn("depth", path_depth(F.col("dir")))
+        entries = entries.join(removed.select(key).distinct().withColumn("_gone", F.lit(True)), key, "left")
+        survives = F.col("_gone").isNull()
+    out = directory_totals(entries, survives).filter("n_files = 0").select("tree", "root", "dir", "depth")
     return out.filter("dir <> ''") if keep_root else out

@@ -1,8 +1,11 @@
 """Temporary and junk files by name."""
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.functions.globs import matches_glob
 from arbora.functions.names import JUNK_PARTS, is_junk
 
 
@@ -11,6 +14,12 @@ def find_junk(entries: DataFrame) -> DataFrame:
     return entries.filter(~F.col("is_dir") & is_junk(F.col("name")))
 
 
+def find_named(entries: DataFrame, globs: str | Iterable[str], fold: bool = False) -> DataFrame:
+    """Files whose whole base name one of the globs matches (see functions/globs.py); fold: names in lower case. Also over streams."""
+    name = F.lower("name") if fold else F.col("name")
+    return entries.filter(~F.col("is_dir") & matches_glob(name, globs))
+
+
 def junk_by_part(entries: DataFrame) -> DataFrame:
     """Files and bytes for each junk part; a name with two parts counts under both, a part without files as 0."""
     files = entries.filter(~F.col("is_dir"))

@@ -3,16 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora.functions.bytepaths import FIRST, byte_order
 from arbora.functions.names import JUNK_PARTS, is_cache_name
 from arbora.functions.ordinals import global_ordinal
 from arbora.functions.paths import parent_path, relative_path
 from arbora.functions.sizes import human_size
-from arbora.operators import caches, compare, dedup, emptydirs, junk
+from arbora.operators import caches, compare, dedup, emptydirs, junk, overlap, rollup
 from arbora.plans.actions import plan_duplicates, plan_paths
-from arbora.sources.roots import cache_roots, roots_frame
+from arbora.sources.roots import roots_of_homes
 from arbora.sources.tables import catalog, tree_of
+from arbora.streaming import stream_duplicates, what_has_arrived
 
-HOME = {"HOME": "/home/user"}
+GLOBS = ("f[0-4]*.txt", "*[^t]", "~[!$]*", "f?7.*", "[~]WRL*.[a-c]?k", "\\~\\$f1*")
 
 
 def _trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -135,6 +137,73 @@ def _report_counts(spark, sf_dir):
     return out
 
 
+def _odd_tail(n: int = 0):
+    """The text of a byte that is no UTF-8, chosen by the path."""
+    k = (F.length("rel") * 31 + F.ascii(F.right("rel", F.lit(5))) + n) % 128
+    return F.get(F.array(*(F.lit(chr(FIRST + i)) for i in range(128))), k)
+
+
+def _byte_names(spark, sf_dir):
+    """Names of t0 with such a byte at the end: their text, their bytes, and their place in the order of bytes."""
+    names = tree_of(catalog(spark, sf_dir), "t0").select(F.concat("rel", _odd_tail()).alias("rel"))
+    placed = global_ordinal(names.withColumn("_bytes", byte_order(F.col("rel"))), ["_bytes"], "place")
+    return placed.select("rel", F.hex("_bytes").alias("bytes"), "place")
+
+
+def _byte_diff(spark, sf_dir):
+    """Some paths of t0 with such a byte against the same paths of t1 with the next byte: none is the other's."""
+    ends = lambda n: F.when(F.col("rel").startswith("m/"), F.concat("rel", _odd_tail(n))).otherwise(F.col("rel"))
+    a, b = (t.withColumn("rel", ends(n)) for n, t in enumerate(_trees(spark, sf_dir)))
+    return compare.compare_trees(a, b).select("side", F.hex(byte_order(F.col("rel"))).alias("bytes"))
+
+
+def _nested_roots(spark, sf_dir):
+    """Both trees, t1 again, one of its directories as a root of its own, and the root above both: every file once."""
+    a, b = _trees(spark, sf_dir)
+    inner = b.filter("rel like 'en/%'").withColumns({"root": F.lit("/data/t1/en"), "rel": F.substring("rel", 4, 4096)})
+    return a.unionByName(b).unionByName(b).unionByName(inner)
+
+
+def _overlapping(spark, sf_dir):
+    return overlap.owned_once(_nested_roots(spark, sf_dir)).groupBy("root").agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"))
+
+
+def _owners(spark, sf_dir):
+    """Every directory of the catalogue as a root, with the outermost one at or above it that lies below a tree's own root."""
+    dirs = rollup.directory_totals(catalog(spark, sf_dir)).filter("dir <> ''").select(F.concat_ws("/", "root", "dir").alias("root"))
+    return overlap.root_owners(dirs)
+
+
+def _distinct_targets(spark, sf_dir):
+    return caches.find_cache_dirs(_nested_roots(spark, sf_dir), distinct_targets=True)
+
+
+def _totals(spark, sf_dir):
+    return rollup.directory_totals(catalog(spark, sf_dir)).select("tree", "dir", "n_files", "bytes", "depth")
+
+
+def _arrivals(spark, sf_dir):
+    stored = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    # a glob, as a stream takes a directory or a glob, and the table may be one file
+    return catalog(spark, sf_dir, spark.readStream.schema(stored).parquet(f"{sf_dir}/documents.parque[t]"))
+
+
+def _stream_junk(spark, sf_dir):
+    return what_has_arrived(junk.find_junk(_arrivals(spark, sf_dir)).select(F.col("abs").alias("path")), "junk")
+
+
+def _stream_dups(spark, sf_dir):
+    """t1 arriving as a stream, t0 the reference."""
+    found = stream_duplicates(tree_of(_arrivals(spark, sf_dir), "t1"), _trees(spark, sf_dir)[0])
+    return what_has_arrived(found.select("reference_abs", "abs", "size"), "duplicates")
+
+
+def _roots(spark, sf_dir):
+    """A user for each source."""
+    users = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("/home/"), "source").alias("home")).distinct()
+    return roots_of_homes(users, "linux")
+
+
 QUERIES = {
     "scan_catalog": lambda s, d: catalog(s, d).select("tree", "rel", "size", "hash"),
     "path_parts": _parts,
@@ -173,7 +242,16 @@ QUERIES = {
     "cache_depth3": _sizes(3),
     "cache_total": lambda s, d: caches.cache_total(caches.cache_sizes(catalog(s, d))),
     "cache_plan": _cache_plan,
-    "cache_roots": lambda s, d: roots_frame(s, cache_roots("linux", HOME)),
+    "cache_roots": _roots,
+    "cache_distinct_targets": _distinct_targets,
+    "dir_totals": _totals,
+    "overlapping_roots": _overlapping,
+    "root_owners": _owners,
+    "glob_files": lambda s, d: junk.find_named(catalog(s, d), GLOBS).select(F.col("abs").alias("path")),
+    "byte_names": _byte_names,
+    "byte_diff": _byte_diff,
+    "stream_junk": _stream_junk,
+    "stream_duplicates": _stream_dups,
     "empty_dirs_after_dedup": _empty,
     "empty_dirs_two_roots": _empty_two_roots,
     "cache_root_matches": _root_matches,
@@ -277,6 +355,7 @@ def _part_sql(part: str) -> str:
     )
 
 
+_ODD = "(length(rel) * 31 + ascii(right(rel, 5)))"
 _JUNK = " OR ".join(f"contains(name, '{p}')" for p in JUNK_PARTS)
 _ABOVE = "SELECT DISTINCT array_to_string(string_split(rel, '/')[1:i], '/') AS dir FROM {0}, (SELECT unnest(range(0, 20)) AS i) WHERE i < len(string_split(rel, '/'))"
 
@@ -321,7 +400,22 @@ FROM (SELECT group_id, abs AS path, '/moved/' || string_split(abs, '/')[-1] AS d
     "cache_depth3": f"SELECT path, size, n_files, {_human_sql('size')} AS text FROM ({_cache_sql(3)})",
     "cache_total": f"SELECT n_targets, bytes, {_human_sql('bytes')} AS text FROM (SELECT count(*) AS n_targets, CAST(sum(size) AS BIGINT) AS bytes FROM ({_cache_sql()}))",
     "cache_plan": f"SELECT 'empty' AS action, path FROM ({_cache_sql()})",
-    "cache_roots": "SELECT * FROM (VALUES ('/tmp', 0), ('/var/tmp', 0), ('/home/user/.cache', 0)) v(root, max_depth)",
+    "cache_roots": """SELECT root, max_depth FROM (VALUES ('/tmp', 0), ('/var/tmp', 0)) v(root, max_depth) WHERE EXISTS (SELECT 1 FROM documents WHERE source IS NOT NULL)
+UNION ALL SELECT DISTINCT '/home/' || source || '/.cache', 0 FROM documents WHERE source IS NOT NULL""",
+    "cache_distinct_targets": f"SELECT path FROM ({_cache_sql()})",
+    "dir_totals": f"""SELECT tree, dir, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes, CAST(CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END AS INTEGER) AS depth
+FROM (SELECT tree, size, array_to_string(string_split(rel, '/')[1:i], '/') AS dir FROM cat, (SELECT unnest(range(0, 20)) AS i) WHERE i < len(string_split(rel, '/'))) GROUP BY tree, dir""",
+    "overlapping_roots": "SELECT root, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM cat GROUP BY root",
+    "root_owners": f"""SELECT '/data/' || tree || '/' || dir AS root, '/data/' || tree || '/' || string_split(dir, '/')[1] AS owner
+FROM (SELECT 't0' AS tree, dir FROM ({_ABOVE.format('a')}) UNION ALL SELECT 't1', dir FROM ({_ABOVE.format('b')})) WHERE dir <> ''""",
+    "glob_files": r"""SELECT abs AS path FROM cat WHERE regexp_full_match(name, 'f[0-4].*\.txt|.*[^t]|~[!$].*|f.7\..*|~WRL.*\.[a-c].k|~\$f1.*')""",
+    "byte_names": f"""SELECT rel || chr(CAST({FIRST} + k AS INTEGER)) AS rel, hex(encode(rel)) || printf('%02X', 128 + k) AS bytes,
+  row_number() OVER (ORDER BY hex(encode(rel)) || printf('%02X', 128 + k)) AS place FROM (SELECT rel, {_ODD} % 128 AS k FROM a)""",
+    "byte_diff": f"""SELECT side, bytes FROM (WITH x AS (SELECT hex(encode(rel)) || CASE WHEN starts_with(rel, 'm/') THEN printf('%02X', 128 + {_ODD} % 128) ELSE '' END AS bytes FROM a),
+y AS (SELECT hex(encode(rel)) || CASE WHEN starts_with(rel, 'm/') THEN printf('%02X', 128 + ({_ODD} + 1) % 128) ELSE '' END AS bytes FROM b)
+SELECT 'a' AS side, bytes FROM x WHERE bytes NOT IN (SELECT bytes FROM y) UNION ALL SELECT 'b', bytes FROM y WHERE bytes NOT IN (SELECT bytes FROM x))""",
+    "stream_junk": f"SELECT abs AS path FROM cat WHERE {_JUNK}",
+    "stream_duplicates": f"SELECT reference_abs, abs, size FROM ({_dup_sql('hash')})",
     "empty_dirs_after_dedup": f"""SELECT dir, CAST(CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END AS INTEGER) AS depth
 FROM ({_ABOVE.format('b')}) WHERE dir NOT IN (SELECT dir FROM ({_ABOVE.format('(SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.hash = b.hash)) kept')}))""",
     "empty_dirs_two_roots": f"""SELECT '/data/t1' AS root, dir, CAST(CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END AS INTEGER) AS depth

@@ -3,94 +3,86 @@
 Spark's own binaryFile source hides dotted names and empty files, follows links and never lists directories, so
 trees are walked here. Links are listed as files and not followed. A directory that can't be listed has the size
 UNLISTED, a file that can't be examined a null size; what is gone meanwhile is left out, and a missing root gives no rows.
-The name filter `contains` is applied while walking: other files and all directories never become rows.
+Names need not be UTF-8: see functions/bytepaths.py for the text they have in columns. `raw_path` is the path itself.
+
+`scan_tree` walks in rounds that spread over the cluster. The format FORMAT (call `register` first) reads the same rows lazily, a task for each
+directory of the root; with the option pushdown, filters on depth, name and is_dir reach the walk.
 """
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, LessThan, LessThanOrEqual, Not, StringContains
 
-from arbora.schema import FILE_ENTRY, UNLISTED
+from arbora.functions.bytepaths import escape, unescape
+from arbora.schema import FILE_ENTRY
+from arbora.sources.walk import CACHES, Rules, entries_of, listed, walk
 
-FORMAT = "arbora-filetree"
-MOST_LEVELS, MOST_TASKS = 6, 4096
+FORMAT, MOST_TASKS = "arbora-filetree", 4096
 
 
 class Subtree(InputPartition):
     """One unit of walking: directories, with or without what lies below their own entries."""
 
-    def __init__(self, dirs: list[bytes], deep: bool):
+    def __init__(self, dirs: list[tuple[bytes, bool]], deep: bool):
         super().__init__(None)
         self.dirs, self.deep = dirs, deep
 
 
+def rules_of(options: dict) -> Rules:
+    if not options.get("path"):
+        raise ValueError("a root directory is needed")
+    caches = options.get("caches", "")
+    if caches not in CACHES:
+        raise ValueError(f"caches {caches!r} is not one of {CACHES}")
+    root = os.path.abspath(unescape(options["path"]))
+    depth = int(options.get("maxdepth", options.get("maxDepth", 0)))
+    return Rules(root, options.get("tree", ""), depth, tuple(json.loads(options.get("contains", "[]"))), dirs=not json.loads(options.get("contains", "[]")), caches=caches)
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
-        if not options.get("path"):
-            raise ValueError("a root directory is needed")
-        self.root = os.fsencode(os.path.abspath(options["path"]))
-        self.tree = options.get("tree", "")
-        self.max_depth = int(options.get("maxdepth", options.get("maxDepth", 0)))
-        self.units = int(options.get("units", 64))
-        self.contains = json.loads(options.get("contains", "[]"))
+        self.rules = rules_of(options)
 
     def partitions(self) -> list[Subtree]:
-        """Levels are listed here until one has `units` directories; those are dealt out as whole subtrees, to at most MOST_TASKS."""
-        level, own = [self.root] if os.path.isdir(self.root) else [], []
-        for _ in range(MOST_LEVELS):
-            if len(level) >= self.units:
-                break
-            own += level
-            level = [e.path for d in level for e in self._entries(d) or () if e.is_dir(follow_symlinks=False)]
-        deal = lambda dirs, n, deep: [Subtree(dirs[i::n], deep) for i in range(min(n, len(dirs)))]
-        return deal(own, self.units, False) + deal(level, MOST_TASKS, True) or [Subtree([], False)]
-
-    def _entries(self, path: bytes) -> list[os.DirEntry] | None:
-        """Sorted entries; none below the depth limit or of a directory that is gone, None if it can't be listed."""
-        depth = 0 if path == self.root else os.path.relpath(path, self.root).count(b"/") + 1
-        if self.max_depth and depth >= self.max_depth:
-            return []
-        try:
-            with os.scandir(path) as found:
-                return sorted(found, key=lambda e: e.name)
-        except FileNotFoundError:
-            return []
-        except OSError:
-            return None
-
-    def _row(self, path: bytes, is_dir: bool, size: int | None) -> tuple:
-        text = lambda b: b.decode("utf-8", "replace")
-        rel = b"" if path == self.root else os.path.relpath(path, self.root)
-        depth = rel.count(b"/") + 1 if rel else 0
-        name = os.path.basename(path)
-        return (self.tree, text(self.root), text(rel), text(path), text(name), is_dir, depth, size, path)
-
-    def _wanted(self, name: bytes) -> bool:
-        return not self.contains or any(part in name.decode("utf-8", "replace") for part in self.contains)
+        """The root's own entries, and its directories dealt out to at most MOST_TASKS."""
+        root = self.rules.start()
+        if not root or not self.rules.opens(0, root[0][1]):
+            return [Subtree(root, True)]
+        below = [(e.path, self.rules.inside(e.name, root[0][1])) for e in entries_of(self.rules.root) or () if e.is_dir(follow_symlinks=False)]
+        return [Subtree(root, False), *(Subtree(below[i::MOST_TASKS], True) for i in range(min(MOST_TASKS, len(below))))]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
-        todo = list(partition.dirs)
-        while todo:
-            path = todo.pop()
-            entries = self._entries(path)
-            if not self.contains and not (path == self.root and os.path.islink(path)):
-                yield self._row(path, True, UNLISTED if entries is None else None)
-            for e in entries or ():
-                if e.is_dir(follow_symlinks=False):
-                    if partition.deep:
-                        todo.append(e.path)
-                elif self._wanted(e.name):
-                    try:
-                        size = e.stat(follow_symlinks=False).st_size
-                    except FileNotFoundError:
-                        continue
-                    except OSError:
-                        size = None
-                    yield self._row(e.path, False, size)
+        yield from listed(partition.dirs, self.rules, deep=partition.deep)
+
+
+class PushedReader(TreeReader):
+    """The same, steered by filters. Spark refuses it while spark.sql.python.filterPushdown.enabled is unset."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes what spares opening directories or making rows. All are left to Spark too, which also knows how nulls compare."""
+        for f in filters:
+            yield f
+            match f:
+                case LessThanOrEqual(("depth",), n) if n > 0:
+                    self._limit(n)
+                case LessThan(("depth",), n) if n > 1:
+                    self._limit(n - 1)
+                case EqualTo(("depth",), n) if n > 0:
+                    self._limit(n)
+                case EqualTo(("is_dir",), only):
+                    self.rules = replace(self.rules, files=self.rules.files and not only, dirs=self.rules.dirs and only)
+                case Not(EqualTo(("is_dir",), never)):
+                    self.rules = replace(self.rules, files=self.rules.files and never, dirs=self.rules.dirs and not never)
+                case StringContains(("name",), part) if not self.rules.dirs and not self.rules.contains:
+                    self.rules = replace(self.rules, contains=(part,))
+
+    def _limit(self, depth: int) -> None:
+        self.rules = replace(self.rules, max_depth=min(depth, self.rules.max_depth or depth))
 
 
 class FileTree(DataSource):
@@ -102,23 +94,26 @@ class FileTree(DataSource):
         return FILE_ENTRY
 
     def reader(self, schema) -> TreeReader:
-        return TreeReader(dict(self.options))
+        options = dict(self.options)
+        return (PushedReader if options.get("pushdown") == "true" else TreeReader)(options)
 
 
-def scan_tree(spark: SparkSession, root: str, tree: str = "", max_depth: int = 0, contains: tuple[str, ...] = ()) -> DataFrame:
-    """Every file and directory of one tree, the root included, as FILE_ENTRY rows.
+def register(spark: SparkSession) -> None:
+    """Makes FORMAT known to the session."""
+    spark.dataSource.register(FileTree)
 
-    contains: only files whose base name holds one of these parts, and no directories.
+
+def scan_tree(spark: SparkSession, root: str | bytes, tree: str = "", max_depth: int = 0, contains: tuple[str, ...] = (), caches: str = "") -> DataFrame:
+    """Every file and directory of one tree, the root included, as FILE_ENTRY rows; walked now, in rounds.
+
+    contains: only files whose base name holds one of these parts, and no directories. caches: only outermost cache directories
+    down to max_depth and all below them (`sizes`), or these directories alone, which then stay closed (`paths`).
     """
-    if not root:
-        raise ValueError("a root directory is needed")
-    spark.dataSource.register(FileTree)
-    reader = spark.read.format(FORMAT).option("tree", tree).option("maxDepth", str(max_depth))
-    return reader.option("contains", json.dumps(contains)).load(root)
+    return walk(spark, rules_of({"path": root and escape(os.fsencode(root)), "tree": tree, "maxDepth": max_depth, "contains": json.dumps(contains), "caches": caches}))
 
 
 def scan_trees(spark: SparkSession, roots: list[str], tree: str = "") -> DataFrame:
-    """Several trees one after another; a file that lies in two of them is listed twice."""
+    """Several trees one after another; a file that lies in two of them is listed twice (see operators/overlap.py)."""
     return reduce(DataFrame.unionByName, (scan_tree(spark, r, tree) for r in roots))
 
 

@@ -4,7 +4,8 @@ import os
 import sys
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values: (variable or folder, path below it, depth limit).
 ROOTS = {
@@ -42,5 +43,12 @@ def usable_roots(roots: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return [(r, d) for r, d in roots if r and os.path.isdir(r)]
 
 
-def roots_frame(spark: SparkSession, roots: list[tuple[str, int]]) -> DataFrame:
-    return spark.createDataFrame(roots, "root string, max_depth int")
+def roots_of_homes(homes: DataFrame, system: str) -> DataFrame:
+    """(root, max_depth) of every home directory (home) of a system whose roots need no other variable; each root once."""
+    fixed = cache_roots(system, {})
+    own = [(r, d) for r, d in cache_roots(system, {"HOME": "~"}) if r.startswith("~/")]
+    root = F.array(
+        *(F.struct(F.lit(r).alias("root"), F.lit(d).alias("max_depth")) for r, d in fixed if r.startswith("/")),
+        *(F.struct(F.concat(F.col("home"), F.lit(r[1:])).alias("root"), F.lit(d).alias("max_depth")) for r, d in own),
+    )
+    return homes.select(F.inline(root)).distinct()

@@ -32,8 +32,11 @@ def _own_path() -> Column:
     )
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tree, root, rel, abs, name, is_dir, depth, size, hash; content is hashed in the scan and goes no further."""
+def catalog(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+    """tree, root, rel, abs, name, is_dir, depth, size, hash; content is hashed in the scan and goes no further.
+
+    documents: a stream of the table, say, instead of the table itself.
+    """
     name = F.concat(F.lit("f"), F.col("doc_id").cast("string"))
     size = F.octet_length("text").cast("bigint")
     whole = content_hash(F.col("text"))
@@ -57,7 +60,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.expr("doc_id % 25 = 1"), F.array(lost)).otherwise(none),
     )
     flat = (
-        spark.read.parquet(f"{sf_dir}/documents.parquet")
+        (spark.read.parquet(f"{sf_dir}/documents.parquet") if documents is None else documents)
         .withColumn("_h", whole)
         .select(F.explode(entries).alias("e"))
         .select("e.*")
