@@ -12,15 +12,19 @@ A URL that no rule fits gets its template's purity, the share of blocked labels
 towards all hosts'. A template without labels takes the nearest branch above it that has some, or else the host's rate. The
 URL is blocked if the purity has come `threshold` of the way from the share of blocked labels of all hosts to 1.
 
+Segments that all paths of a node share are taken at once, past the ends of shorter ones, and branches are merged only at the levels where
+some node has several, so the number of jobs follows the forks of the deepest path, not its segments. A prefix of a node is known by
+128 bits of a hash of its tokens.
+
 Hosts of any size: every step is an aggregate with a map-side combine or an equi-join whose other side has one row a
 node, so one host with a third of all rows is split by adaptive execution.
 
 A null URL or one without `://` has an empty host and path. Repeated URLs count as often as they occur. A URL of any length
-and number of segments is grown only as far as its node needs. Segments `*` and `+` are escaped as %2A and %2B, so they
+and number of segments is grown only as far as its node needs; thousands of segments shared by many URLs are one step. Segments `*` and `+` are escaped as %2A and %2B, so they
 are no wildcards. Extra columns don't matter. No rows, no result.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.llm.common import LOWER, UPPER, table
@@ -62,17 +66,44 @@ def verdict_of(rule: Column, rules=RULES) -> Column:
     return out
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """rows of nodes with one segment only: moves as many from `rest` to `tokens` as growing them one at a time would.
+
+    That goes on along the longest path while all that haven't ended agree with it, are MIN_ROWS or more, and differ further on.
+    """
+    key, size, left = ["host", "tokens"], F.size("rest"), F.array_join("rest", "/")
+    rows = rows.withColumn("left", left)
+    longest = stage(rows.groupBy(*key).agg(F.max_by("rest", F.struct(size, "left")).alias("way")), "ways")
+    rows = rows.join(longest, key)
+    differs = F.array_position(F.transform("rest", lambda s, i: s.eqNullSafe(F.get("way", i))), False)
+    other = F.col("left") != F.array_join("way", "/")
+    ends = rows.groupBy(*key).agg(F.min(F.when(differs > 0, differs - 1)).alias("agree"), F.max(F.when(other, size)).alias("second"))
+    sizes = rows.groupBy(*key, size.alias("size")).agg(F.sum("n").alias("k"))
+    reach = F.sum("k").over(Window.partitionBy(*key).orderBy(F.desc("size")))
+    enough = sizes.withColumn("reach", reach).filter(F.col("reach") >= MIN_ROWS).groupBy(*key).agg(F.max("size").alias("enough"))
+    steps = stage(ends.join(enough, key).select(*key, F.least("agree", "second", "enough").cast("int").alias("step")), "steps")
+    moved = rows.drop("left", "way").join(steps, key)
+    rest = F.slice("rest", F.col("step") + 1, size)
+    return moved.withColumns({"tokens": F.concat("tokens", F.slice("rest", F.lit(1), F.col("step"))), "rest": rest}).drop("step")
+
+
 def _variables(rows: DataFrame) -> DataFrame:
     """Moves the first segment of `rest` to `tokens`, as * where the segment carries too few of the node's URLs.
 
-    `rest` is not empty. A node that needs no growing gets all of it as one token.
+    `rest` is not empty. A node that needs no growing gets all of it as one token; one with a single segment is left to `_shared`.
     """
+    columns = rows.columns
     rows = rows.withColumn("seg", F.col("rest")[0])
     left = F.array_join("rest", "/")
     each = rows.groupBy("host", "tokens", "seg").agg(F.sum("n").alias("k"), F.min(left).alias("low"), F.max(left).alias("high"))
     each = stage(each, "segments")
-    whole = each.groupBy("host", "tokens").agg(F.sum("k").alias("total"), (F.min("low") == F.max("high")).alias("same"))
+    whole = each.groupBy("host", "tokens").agg(F.sum("k").alias("total"), (F.min("low") == F.max("high")).alias("same"), (F.count("*") == 1).alias("one"))
     whole = stage(whole, "totals")  # so that the join's sides are plain shuffles, which adaptive execution can split
+    single = whole.filter((F.col("total") >= MIN_ROWS) & ~F.col("same") & F.col("one")).select("host", "tokens")
+    shared = None
+    if not single.isEmpty():
+        shared = _shared(rows.drop("seg").join(single, ["host", "tokens"], "left_semi")).select(columns)
+        rows = rows.join(single, ["host", "tokens"], "left_anti")
     fixed = (F.col("k") >= MIN_ROWS) & (F.col("k") >= F.col("total") * MIN_SHARE)
     few = F.col("total") < MIN_ROWS
     known = each.join(whole, ["host", "tokens"]).filter(few | fixed)
@@ -82,7 +113,8 @@ def _variables(rows: DataFrame) -> DataFrame:
     variable = F.array_join(F.transform("rest", lambda _: F.lit("*")), "/")
     token = F.when(ends, F.when(fixed, left).otherwise(variable)).otherwise(F.when(fixed, F.col("seg")).otherwise("*"))
     rest = F.when(ends, F.array().cast("array<string>")).otherwise(F.slice("rest", F.lit(2), F.size("rest")))
-    return found.withColumns({"tokens": F.array_append("tokens", token), "rest": rest}).drop("seg", "fixed", "ends")
+    out = found.withColumns({"tokens": F.array_append("tokens", token), "rest": rest}).select(columns)
+    return out if shared is None else out.unionByName(shared)
 
 
 def templates(urls: DataFrame) -> DataFrame:
@@ -102,13 +134,27 @@ def _counts() -> list[Column]:
     return [F.sum("lab").alias("lab"), F.sum("bad").alias("bad")]
 
 
+def _prefixes(tokens: str) -> Column:
+    """A hash of each prefix of a node's tokens, the empty one first; hosts apart."""
+    return F.aggregate(tokens, F.array(F.md5("host")), lambda a, t: F.array_append(a, F.md5(F.concat(F.element_at(a, -1), t))))
+
+
 def merged(nodes: DataFrame) -> DataFrame:
     """(host, tokens, lab, bad) -> the same with `form`, the node's tokens after its branches were merged bottom-up."""
-    depth = nodes.agg(F.max(F.size("tokens"))).first()[0] or 0
-    nodes = nodes.withColumn("form", F.col("tokens"))
-    for d in range(depth, 0, -1):
+    nodes = stage(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    steps = nodes.withColumn("up", _prefixes("tokens"))
+    steps = steps.select("id", F.inline(F.transform("tokens", lambda t, i: F.struct((i + 1).alias("d"), F.get("up", i).alias("up"), t.alias("token")))))
+    steps = stage(steps, "steps")
+    several = stage(steps.groupBy("up").agg((F.min("token") != F.max("token")).alias("several")).filter("several").select("up"), "forks")
+    forks = stage(steps.join(several, "up").groupBy("id").agg(F.collect_set("d").alias("forks")), "forks")
+    depths = sorted((r[0] for r in forks.select(F.explode("forks")).distinct().collect()), reverse=True)  # levels with a fork
+    # a branch that has no other beside it doesn't differ from their pool
+    alone = F.transform("tokens", lambda t, i: F.when(F.array_contains("forks", i + 1), t).otherwise("*"))
+    nodes = nodes.join(forks, "id", "left").withColumn("forks", F.coalesce("forks", F.array().cast("array<int>"))).withColumn("form", alone)
+    nodes = stage(nodes.drop("id"), "merged")
+    for d in depths:
         # the branch at this level: its parent, its token there, and what its templates below have become
-        inside = F.size("tokens") >= d
+        inside = F.array_contains("forks", d)
         cut = nodes.withColumn("up", F.when(inside, F.slice("tokens", 1, d - 1))).withColumn("token", F.get("tokens", F.lit(d - 1)))
         cut = cut.withColumn("below", F.when(inside, F.slice("form", F.lit(d + 1), F.size("form"))))
         each = cut.filter(inside).groupBy("host", "up", "token", "below").agg(*_counts())
@@ -120,21 +166,21 @@ def merged(nodes: DataFrame) -> DataFrame:
         own = F.when(F.col("apart"), F.when(F.col("token") == "*", "+").otherwise(F.col("token"))).otherwise("*")
         form = F.concat(F.slice("form", 1, d - 1), F.array(own), F.col("below"))
         nodes = cut.join(odd, ["host", "up", "token"], "left").withColumn("form", F.when(inside, form).otherwise(F.col("form")))
-        nodes = stage(nodes.select("host", "tokens", "lab", "bad", "form"), "merged")
-    return nodes
+        nodes = stage(nodes.select("host", "tokens", "lab", "bad", "forks", "form"), "merged")
+    return nodes.drop("forks")
 
 
 def purity(rows: DataFrame) -> DataFrame:
     """(host, tokens, template, purity, base) for each node; base is the share of blocked labels over all hosts."""
     n = F.col("n")
     labels = F.sum(F.when(F.col("label").isNotNull(), n).otherwise(0)), F.sum(F.when(F.col("label") == "block", n).otherwise(0))
-    nodes = merged(stage(rows.groupBy("host", "tokens").agg(labels[0].alias("lab"), labels[1].alias("bad")), "nodes"))
-    forms = nodes.groupBy("host", "form").agg(*_counts())
-    ups = forms.withColumn("d", F.explode(F.sequence(F.lit(0), F.size("form")))).withColumn("up", F.expr("slice(form, 1, d)"))
+    nodes = merged(rows.groupBy("host", "tokens").agg(labels[0].alias("lab"), labels[1].alias("bad")))
+    forms = stage(nodes.groupBy("host", "form").agg(*_counts()).withColumn("id", F.monotonically_increasing_id()), "forms")
+    ups = forms.select("id", "lab", "bad", F.posexplode(_prefixes("form")).alias("d", "up"))
     ups = stage(ups, "branches")
-    known = ups.groupBy("host", "up").agg(*_counts()).filter((F.col("lab") > 0) | (F.size("up") == 0))
-    nearest = ups.select("host", "form", "d", "up").join(known, ["host", "up"])
-    nearest = nearest.groupBy("host", "form").agg(F.max_by(F.struct("d", "lab", "bad"), "d").alias("near"))
+    known = ups.groupBy("up", "d").agg(*_counts()).filter((F.col("lab") > 0) | (F.col("d") == 0))
+    nearest = ups.select("id", "up").join(known, "up").groupBy("id").agg(F.max_by(F.struct("d", "lab", "bad"), "d").alias("near"))
+    nearest = forms.select("id", "host", "form").join(nearest, "id").drop("id")
     hosts = nodes.groupBy("host").agg(F.sum("lab").alias("h_lab"), F.sum("bad").alias("h_bad"))
     base = F.coalesce(hosts.agg((F.sum("h_bad") + 1) / (F.sum("h_lab") + 2)).scalar(), F.lit(0.5))
     scored = nearest.join(hosts, "host").withColumn("base", base)

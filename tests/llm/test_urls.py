@@ -1,6 +1,7 @@
 """The URL query against a plain tree over the same tables, and on paths of every depth."""
 
 import random
+import time
 
 import pytest
 
@@ -32,6 +33,31 @@ def test_deep_and_odd_paths_equal_the_plain_tree(spark):
     assert rows_of(urls.judge(df)) == sorted(judge(pages), key=repr)
 
 
+def test_chains_and_traps_equal_the_plain_tree(spark):
+    """Long shared ways, ends along them, forks after them, and a path that repeats itself to every length."""
+    rng = random.Random(5)
+    way = "/".join(rng.choice("abc") for _ in range(30))
+    pages = ["http://one.com/" + way + f"/{i}" for i in range(20)] + ["http://ends.com/" + "/".join(way.split("/")[: rng.randint(1, 30)]) for _ in range(60)]
+    pages += ["http://trap.net" + "/calendar/next" * i for i in range(1, 40)] + ["http://trap.net" + "/de/x" * i for i in range(1, 25)] * 2
+    pages += [f"http://fork.com/{way}/{rng.choice(('de', 'fr', 'xx'))}/{way}/{rng.choice('pq')}" for _ in range(80)]
+    pages += [f"http://{h}/{lang}/{way}/{k}" for h in ("w.org", "w.com") for lang in ("de", "fr", "it") for k in range(9)] + ["http://few.com/" + way] * 4 + ["http://same.com/" + way] * 9
+    pages = list(enumerate(pages))
+    assert rows_of(urls.judge(spark.createDataFrame(pages, "page_id long, url string"))) == sorted(judge(pages), key=repr)
+
+
+def test_jobs_follow_forks_and_not_segments(spark):
+    """20 URLs that share 1,000 segments, and a trap of 300 lengths."""
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    jobs = []
+    for n in (10, 1000):
+        way = "/".join(f"s{i % 7}" for i in range(n))
+        pages = [(i, f"http://x.com/{way}/{i}") for i in range(20)] + [(100 + i, "http://y.com" + "/a" * i) for i in range(1, max(10, 3 * n // 10))]
+        first, began = scheduler.nextJobId(), time.time()
+        assert len({r.template for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect() if r.host == "x.com"}) == 1
+        jobs.append(scheduler.nextJobId() - first)
+    assert jobs[1] <= jobs[0] + 10 and time.time() - began < 60
+
+
 def test_labels_are_matched_better_than_by_host_alone(spark):
     """On sf0.1, templates without the URL's own label against the host's share of blocked labels."""
     rows = urls.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")).filter("rule is not null")
