@@ -13,9 +13,11 @@ texts sent there, and only confirmed links leave it, so that rows grow with the
 last-level node above LEAF is dealt into blocks; classes outside its largest component visit all of its blocks, so none is
 compared with less than all others. A block's own classes, WIDE * LEAF of them or WEIGHT
 shingles, are held, visitors stream past them.
-Branching such nodes further instead costs more at any size met: texts around one template with a similarity of 0.7, of
-which no two are linked, leave 0.82 of a node together at each level, while a pair at 0.85 needs 1 / 0.85 times the trees,
-that is (n / LEAF)^0.83 seats a class for a node of n, against n / (WIDE * LEAF) visits.
+Before that, classes of nodes that would need several blocks are held against each other by their rarest shingles
+(`_reachable`): linked sets share one early in both, so a class none of whose early shingles another of fitting size has early
+can have no link there and leaves the node, and those that such shingles connect are a node of their own. Texts around one template that aren't near-duplicates share the template's
+shingles only, which are none of their rarest, so nothing is left of such a node, whatever its size; branching it further would leave
+most of it together at each level.
 
 The threshold is the caller's, in hundredths; the number of trees and the least estimate follow from it. Two sets of
 similarity s meet in a leaf of level d of some of n trees with probability 1 - (1 - s^d)^n. n is the least that leaves at
@@ -40,7 +42,7 @@ from arbora.llm.components import components
 from arbora.llm.shingles import Minwise, common, exact_sets, shingle_sets
 from arbora.staging import stage
 
-THRESHOLD, LEVELS, LEAF, WIDE, WEIGHT, SKETCH, FIRST, MISS = 85, 4, 64, 64, 1 << 21, 384, 3, 2e-4
+THRESHOLD, LEVELS, LEAF, WIDE, WEIGHT, SKETCH, FIRST, MISS, PER_OCTAVE = 85, 4, 64, 64, 1 << 21, 384, 3, 2e-4, 32
 
 
 class _Limits:
@@ -93,7 +95,7 @@ def _leaves(classes: DataFrame, trees: int) -> DataFrame:
         rows = rows.join(sizes, ["tree", "path"])
         last = level == LEVELS - 1
         done = rows if last else rows.filter(F.col("size") <= LEAF)
-        done = done.select("tree", "path", "size", "weight", "fp")
+        done = done.select("tree", "path", "size", "weight", "fp", "n")
         out = done if out is None else out.unionByName(done)
         if not last:
             rows = stage(rows.filter(F.col("size") > LEAF).drop("size", "weight"), "branch")
@@ -321,6 +323,69 @@ def _block(blocks):
     return F.when(F.col("size") <= LEAF, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("fp"), blocks))
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, n, text) -> a row (fp, n, s) for each shingle."""
+    for whole in batches:
+        for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+            sets = list(shingle_sets(b.column("text")))
+            n = np.array([len(x) for x in sets])
+            fp = b.column("fp").take(pa.array(np.repeat(np.arange(len(sets)), n)))
+            yield pa.RecordBatch.from_arrays([fp, pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], ["fp", "n", "s"])
+
+
+def _reachable(texts: DataFrame, threshold: int) -> DataFrame:
+    """(fp, part) of texts (fp, text) that may be linked with another of them, linked ones with the same part; the rest surely isn't.
+
+    Shingles are put in one order, the rarest among these texts first. Say two sets of a and b shingles have the similarity
+    t / 100 of a link, so at least t (a + b) / (100 + t) in common, and their first common shingle is the i-th of the first set. All
+    common ones come from there on, so that is at most a - i + 1, which bounds b from above; and likewise for the other. A text stays
+    if one of its shingles is had by a text of a size that both bounds allow; texts that such shingles connect are a part. Sizes are looked up by the bucket, PER_OCTAVE for each
+    doubling, with the least size and the highest bound in each, so one row stands for all that share a shingle.
+    """
+    bucket = lambda n: F.floor(F.log2(n) * PER_OCTAVE)
+    sets = stage(texts.select("fp", "text").mapInArrow(_shingles, "fp binary, n long, s long"), "shingles")
+    often = stage(sets.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"), "often")
+    lists = sets.join(often, "s").groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("t"))
+    # those that no other text has come before all others
+    alone = F.col("n") - F.size("t")
+    least = F.ceil(threshold * F.col("n") / 100)  # of a set in common with any partner, and of a partner's size
+    early = F.slice("t", F.lit(1), F.greatest(F.col("n") - least + 1 - alone, F.lit(0)).cast("int"))
+    rows = lists.select("fp", "n", least.alias("low"), alone.alias("alone"), F.posexplode(early).alias("p", "e"))
+    after = F.col("n") - F.col("alone") - F.col("p")  # from this shingle on
+    high = F.floor((after * (100 + threshold) - threshold * F.col("n")) / threshold)
+    rows = rows.select("fp", "n", "e.s", "low", F.least(high, F.floor(100 * F.col("n") / threshold)).alias("high")).filter("high >= low")
+    rows = stage(rows.withColumn("own", bucket(F.col("n"))), "early")
+    met = stage(rows.groupBy("s", F.col("own").alias("b")).agg(F.min("n").alias("least"), F.max("high").alias("most"), F.count("*").alias("k")), "met")
+    asked = rows.withColumn("b", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
+    found = asked.join(met, ["s", "b"]).filter("least <= high and most >= n and (b <> own or k > 1)")
+    found = stage(found.select("fp", "s").distinct(), "found")
+    firsts = found.groupBy("s").agg(F.min("fp").alias("v"))
+    edges = found.join(firsts, "s").filter("fp > v").select(F.col("fp").alias("u"), "v").distinct()
+    parts = components(stage(edges, "edges"))
+    heads = parts.select(F.col("root").alias("fp"), F.col("root").alias("part")).distinct()
+    return parts.select(F.col("node").alias("fp"), F.col("root").alias("part")).unionByName(heads)
+
+
+def _mixed(nodes: DataFrame) -> DataFrame:
+    """(tree, path, major) of nodes with several components, and the one of most classes."""
+    each = nodes.groupBy("tree", "path", "comp").agg(F.count("*").alias("k"))
+    found = each.groupBy("tree", "path").agg(F.count("*").alias("n_comp"), F.max_by("comp", F.struct("k", "comp")).alias("major"))
+    return found.filter("n_comp > 1").drop("n_comp")
+
+
+def _without_hopeless(nodes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """nodes (tree, path, size, weight, fp, n, comp): those of several blocks fall into the parts of `_reachable`, others stay."""
+    several = _blocks() > 1
+    crowd = stage(nodes.filter(several).select("fp").distinct(), "crowd")
+    if crowd.isEmpty():
+        return nodes
+    alive = stage(_reachable(texts.join(crowd, "fp", "left_semi"), threshold), "alive")
+    left = nodes.filter(several).join(alive, "fp").withColumn("path", F.xxhash64("path", "part")).drop("size", "weight", "part")
+    left = stage(left, "left")
+    sizes = left.groupBy("tree", "path").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    return nodes.filter(~several).unionByName(left.join(sizes, ["tree", "path"]))
+
+
 def _reaches(left: np.ndarray, right: np.ndarray, threshold: int) -> bool:
     """Whether two full sets have the similarity of a link. Sizes alone rule out the hopeless ones."""
     if 100 * min(len(left), len(right)) < threshold * max(len(left), len(right)):
@@ -371,7 +436,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     texts = stage(found.select("fp", "n", "text"), "texts")
 
     # first pass: spanning forests of a few trees; a crowded node's smallest class joins each of its blocks
-    few = leaves.filter(F.col("tree") < FIRST).withColumn("block", _block(F.ceil(F.col("size") / LEAF).cast("long")))
+    few = leaves.drop("n").filter(F.col("tree") < FIRST).withColumn("block", _block(F.ceil(F.col("size") / LEAF).cast("long")))
     heads = few.filter(F.col("size") > LEAF).groupBy("tree", "path", "size").agg(F.min("fp").alias("fp"))
     heads = heads.withColumn("weight", F.lit(0).cast("long"))
     seats = few.filter(F.col("size") > LEAF).select("tree", "path", "block").distinct()
@@ -383,11 +448,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     # second pass: links across components in every node of every tree, confirmed in the block where two classes meet
     own = leaves.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
-    each = own.groupBy("tree", "path", "comp").agg(F.count("*").alias("k"))
-    mixed = each.groupBy("tree", "path").agg(F.count("*").alias("n_comp"), F.max_by("comp", F.struct("k", "comp")).alias("major")).filter("n_comp > 1")
     roams = (F.col("size") > LEAF) & (F.col("comp") != F.col("major"))
-    open_ = own.join(mixed.select("tree", "path", "major"), ["tree", "path"]).withColumn("own", _block(_blocks())).withColumn("roams", roams)
-    open_ = stage(open_.drop("major"), "open")
+    nodes = stage(own.join(_mixed(own).select("tree", "path"), ["tree", "path"]), "nodes")
+    nodes = _without_hopeless(nodes, texts, threshold)
+    open_ = nodes.join(_mixed(nodes), ["tree", "path"]).withColumn("own", _block(_blocks())).withColumn("roams", roams)
+    open_ = stage(open_.drop("major", "n"), "open")
     seat = F.struct("tree", F.xxhash64("tree", "path").alias("leaf"), F.when(F.col("roams"), F.lit(-1).cast("long")).otherwise(F.col("own")).alias("block"))
     seats = open_.groupBy("fp").agg(F.collect_list(seat).alias("seats"))  # one a tree at most
     visits = open_.filter("roams").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), _blocks() - 1))).filter("block <> own").withColumn("home", F.lit(False))

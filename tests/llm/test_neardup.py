@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from arbora.llm import neardup
 from brute import near_duplicates
@@ -102,23 +103,50 @@ def template_texts(n, words=100, own=18):
 
 
 def test_visits_of_a_crowded_node_without_links(spark, monkeypatch):
-    """Texts of one template, none linked: what all blocks read stays in proportion to the texts."""
-    rows = []
+    """Texts of one template in several blocks, none linked but for some planted pairs: what blocks read, and the pairs that they
+    compare, don't outgrow the texts. Blocks are small here, so that the least size already fills many."""
+    monkeypatch.setattr(neardup, "WIDE", 4)
+    seats, work = [], []
     real = neardup._run_blocks
 
     def counting(df, kind, limits):
-        rows.append(df.count())
+        df = df.cache()
+        each = df.groupBy("grp").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("g"))
+        if kind is neardup._Candidates:
+            seats.append(df.count())
+            work.append(each.agg(F.coalesce(F.sum(F.expr("h * (h + g)")), F.lit(0))).first()[0])
         return real(df, kind, limits)
 
     monkeypatch.setattr(neardup, "_run_blocks", counting)
-    seen = []
-    for n in (750, 1500, 3000):
-        rows.clear()
+    for n in (4000, 8000, 16_000):
         texts = template_texts(n)
-        got = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
-        assert all(r.doc_id == r.component_id for r in got)
-        seen.append(rows[0])
-    assert seen[1] < 2.5 * seen[0] and seen[2] < 2.5 * seen[1], seen
+        texts += [(n + i, texts[i][1] + " end") for i in range(0, n, 400)]
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        assert got == {d: d - n if d >= n else d for d, _ in texts}
+    assert seats[1] < 2.3 * seats[0] + 100 and seats[2] < 2.3 * seats[1] + 100, seats
+    assert work[1] < 2.3 * work[0] + 1000 and work[2] < 2.3 * work[1] + 1000, work
+
+
+@pytest.mark.parametrize("threshold", (60, 80, 85, 100))
+def test_what_is_hopeless_has_no_link(spark, threshold):
+    """Families of every closeness: no set that has a partner is left out, and unlike ones mostly are."""
+    rng = random.Random(threshold)
+    texts = []
+    for family in range(12):
+        base = [f"f{family}w{i}" for i in range(rng.choice([6, 30, 90]))]
+        for _ in range(25):
+            words = [w if rng.random() > rng.choice([0, 0.002, 0.01, 0.03]) else f"x{rng.randrange(10**6)}" for w in base]
+            texts.append(" ".join(words[rng.choice([0, 0, 1, 2]) :] + ["end"] * rng.choice([0, 0, 1, 9])))
+    texts = list(dict.fromkeys(texts)) + [" ".join(f"y{rng.randrange(10**9)}" for _ in range(50)) for _ in range(50)]
+    import pyarrow as pa
+
+    sets = list(neardup.shingle_sets(pa.array(texts)))
+    linked = {i for i in range(len(texts)) for j in range(len(texts)) if i != j and neardup._reaches(sets[i], sets[j], threshold)}
+    rows = spark.createDataFrame([(str(i).encode(), t) for i, t in enumerate(texts)], "fp binary, text string")
+    alive = {int(bytes(r.fp)): bytes(r.part) for r in neardup._reachable(rows, threshold).collect()}
+    assert linked <= set(alive) and (linked or threshold == 100)
+    assert all(alive[i] == alive[j] for i in linked for j in linked if i < j and neardup._reaches(sets[i], sets[j], threshold))
+    assert not [i for i in alive if i >= len(texts) - 50]
 
 
 @pytest.mark.parametrize("wide", (1, 16))
