@@ -8,7 +8,7 @@ window would have to start. The length and positional bounds drop those that don
 then read again, and the words there are compared exactly.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. Windows are broadcast only if there are at
-most BROADCAST_WINDOWS of them (so some MB at most), else joined by shuffle, and candidate rows' keys if there are at most
+most BROADCAST_WINDOWS of them and BROADCAST_BYTES of words and ids, else joined by shuffle, and candidate rows' keys if there are at most
 BROADCAST_ROWS. Shingles are exploded and filtered within one generated loop: nothing is built for those that meet no window.
 
 A null text has no words and is clean; an item without words has no window; a null item_id hits but isn't listed;
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from arbora.llm.common import lower_ascii, row_key, table
 from arbora.staging import stage
 
-WINDOW, SHINGLE, BROADCAST_WINDOWS, BROADCAST_ROWS = 10, 3, 200_000, 200_000
+WINDOW, SHINGLE, BROADCAST_WINDOWS, BROADCAST_BYTES, BROADCAST_ROWS = 10, 3, 200_000, 64 << 20, 200_000
 #: what parts words; A-Z belong to words, as they do once lower-cased
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -72,8 +72,9 @@ def _places(docs: DataFrame, vocabulary: DataFrame, ks: list[int], small: bool)
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """(key, start, len, item_id): every place of every window in documents (key, w)."""
     wins = stage(windows(benchmark, size), "windows")
-    shape = wins.agg(F.count("*"), F.collect_set("k")).first()
-    small, ks = shape[0] <= BROADCAST_WINDOWS, sorted(shape[1]) or [SHINGLE]
+    width = F.octet_length(F.array_join("win", " ")) + F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0))
+    shape = wins.agg(F.count("*"), F.collect_set("k"), F.coalesce(F.sum(width), F.lit(0))).first()
+    small, ks = shape[0] <= BROADCAST_WINDOWS and shape[2] <= BROADCAST_BYTES, sorted(shape[1]) or [SHINGLE]
     shingles = reduce(
         DataFrame.unionByName,
         (
