@@ -188,5 +188,5 @@ def score(text: Column, model: Model | None) -> Column:
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
-    out = docs.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), score(F.coalesce("text", F.lit("")), model).alias("score"))
+    out = docs.select("doc_id", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), score(F.coalesce("text", F.lit("")), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
