@@ -359,7 +359,7 @@ def _reachable(texts: DataFrame, threshold: int) -> DataFrame:
     asked = rows.withColumn("b", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
     found = asked.join(met, ["s", "b"]).filter("least <= high and most >= n and (b <> own or k > 1)")
     found = stage(found.select("fp", "s").distinct(), "found")
-    firsts = found.groupBy("s").agg(F.min("fp").alias("v"))
+    firsts = stage(found.groupBy("s").agg(F.min("fp").alias("v")), "firsts")
     edges = found.join(firsts, "s").filter("fp > v").select(F.col("fp").alias("u"), "v").distinct()
     parts = components(stage(edges, "edges"))
     heads = parts.select(F.col("root").alias("fp"), F.col("root").alias("part")).distinct()
@@ -382,7 +382,7 @@ def _without_hopeless(nodes: DataFrame, texts: DataFrame, threshold: int) -> Dat
     alive = stage(_reachable(texts.join(crowd, "fp", "left_semi"), threshold), "alive")
     left = nodes.filter(several).join(alive, "fp").withColumn("path", F.xxhash64("path", "part")).drop("size", "weight", "part")
     left = stage(left, "left")
-    sizes = left.groupBy("tree", "path").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    sizes = stage(left.groupBy("tree", "path").agg(F.count("*").alias("size"), F.sum("n").alias("weight")), "sizes")
     return nodes.filter(~several).unionByName(left.join(sizes, ["tree", "path"]))
 
 
