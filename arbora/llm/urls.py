@@ -191,16 +191,42 @@ def purity(rows: DataFrame) -> DataFrame:
     return stage(nodes.select("host", "tokens", "form").join(scored, ["host", "form"]).drop("form"), "purity")
 
 
-def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """page_id, host, path, rule, verdict, template, purity for each row with (page_id, url)."""
+def _placed(pages: DataFrame, rules) -> DataFrame:
+    """page_id, host, path, rule, label, n and tokens of each row with (page_id, url)."""
     host, path = F.col("host"), F.col("path")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("rule", rule_for(host, path, rules)).withColumn("label", verdict_of(F.col("rule"), rules))
-    placed = templates(stage(rows.withColumn("n", F.lit(1)), "parsed"))
+    return templates(stage(rows.withColumn("n", F.lit(1)), "parsed"))
+
+
+def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
+    """page_id, host, path, rule, verdict, template, purity for each row with (page_id, url)."""
+    placed = _placed(pages, rules)
     judged = placed.join(purity(placed), ["host", "tokens"])
     own = F.when(F.col("purity") >= F.col("base") + threshold * (1 - F.col("base")), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("label", own).alias("verdict"), "template", "purity")
 
 
+def cross_validated(pages: DataFrame, rules=RULES, folds: int = 2) -> DataFrame:
+    """(blocked, way) of every labelled URL: how far its template's purity comes when the labels of the URL's fold are hidden. Equal URLs
+    share a fold; hosts don't, so that a template is judged by others of its host."""
+    placed, out = stage(_placed(pages, rules), "placed"), None
+    for f in range(folds):
+        hidden = F.pmod(F.xxhash64("host", "path"), F.lit(folds)) == f
+        seen = purity(placed.withColumn("label", F.when(~hidden, F.col("label"))))
+        rows = placed.filter(hidden & F.col("label").isNotNull()).join(seen, ["host", "tokens"])
+        rows = rows.select((F.col("label") == "block").alias("blocked"), ((F.col("purity") - F.col("base")) / (1 - F.col("base"))).alias("way"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def fit_threshold(pages: DataFrame, rules=RULES, folds: int = 2, steps: int = 20) -> tuple[float, list[int]]:
+    """The threshold of fewest errors on labelled URLs whose own labels were hidden, the middle of equally good ones; and the errors at 0, 1 / steps .. 1."""
+    wrong = [F.count_if((F.col("way") >= i / steps) != F.col("blocked")).alias(f"e{i}") for i in range(steps + 1)]
+    errors = list(cross_validated(pages, rules, folds).agg(*wrong).first())
+    good = [i for i, e in enumerate(errors) if e == min(errors)]
+    return good[len(good) // 2] / steps, errors
+
+
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"))

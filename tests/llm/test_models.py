@@ -15,12 +15,12 @@ def held_out(label, folds, fold):
     return [(t, y) for d, t, y in rows if not out(d)], [(t, y) for d, t, y in rows if out(d)]
 
 
-@pytest.mark.parametrize("module,label,folds,fold,least", [(toxicity, "toxic", 5, 0, 0.85), (crf, "quality", 3, 1, 0.95)])
-def test_held_out_accuracy(module, label, folds, fold, least):
-    train, test = held_out(label, folds, fold)
-    score = module.fit(train).scores([t for t, _ in test])
+def test_held_out_quality():
+    """Better than one answer for all."""
+    train, test = held_out("quality", 3, 1)
+    score, label = crf.fit(train).scores([t for t, _ in test]), np.array([y for _, y in test])
     assert ((score >= 0) & (score <= 1)).all()
-    assert ((score >= 0.5) == np.array([y for _, y in test])).mean() >= least
+    assert max(label.mean(), 1 - label.mean()) < 0.95 <= ((score >= 0.5) == label).mean()
 
 
 @pytest.mark.parametrize("module", (toxicity, crf))
