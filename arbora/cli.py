@@ -11,7 +11,7 @@ from arbora.functions.hashing import with_file_hash
 from arbora.functions.names import JUNK_PARTS, accepts
 from arbora.functions.sizes import human_size
 from arbora.operators import caches, compare, dedup, emptydirs, junk
-from arbora.operators.overlap import owned_once
+from arbora.operators.overlap import owned_once, real_roots
 from arbora.operators.rollup import enclosing
 from arbora.plans.actions import plan_duplicates, plan_paths
 from arbora.plans.sinks import apply_plan, failures, remove_dirs
@@ -38,8 +38,9 @@ def _compare(spark, args) -> None:
 
 def _dedup(spark, args) -> None:
     check_target(args.out)
-    reference = files_of(scan_tree(spark, args.reference, "reference"))
-    entries = owned_once(scan_trees(spark, args.cleanup, "cleanup"))
+    # by the paths that links lead to, so that a file of the reference is known however a cleanup root reaches it
+    reference = files_of(scan_tree(spark, next(iter(real_roots([args.reference])), ""), "reference"))
+    entries = owned_once(scan_trees(spark, real_roots(args.cleanup) or [""], "cleanup"))
     if args.mode == "path":
         print("Warning: equal paths are taken for equal files; contents aren't compared.")
     found = dedup.group_duplicates(dedup.find_duplicates(reference, files_of(entries), args.mode, with_file_hash))

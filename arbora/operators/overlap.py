@@ -6,13 +6,12 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.functions.bytepaths import escape
 from arbora.operators.rollup import enclosing
 
 
 def real_roots(roots: Iterable[str]) -> list[str]:
-    """Each place once, where links lead to, in the given order."""
-    return list(dict.fromkeys(escape(os.path.realpath(os.fsencode(r))) for r in roots))
+    """Each place once, by the path that links lead to, in the given order."""
+    return list(dict.fromkeys(os.path.realpath(r) for r in roots if r))
 
 
 def root_owners(roots: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Actions tried twice, removal of deep trees, totals of directories, roots in one another, files written side by side, streams."""
 
+import io
 import os
 import random
 from collections import defaultdict
@@ -7,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from arbora import report
+from arbora import cli, report
 from arbora.operators import emptydirs, overlap, rollup
 from arbora.operators.junk import find_junk, find_named
 from arbora.plans import sinks
@@ -200,6 +201,19 @@ def test_nested_equal_and_linked_roots(spark, tmp_path):
     assert sorted((os.path.relpath(r.abs, tmp_path), os.path.basename(r.root)) for r in once.collect()) == [("a/b/c/g", "b"), ("a/b/f", "b"), ("a/h", "a")]
 
 
+def test_a_link_to_the_reference_loses_nothing(spark, tmp_path, monkeypatch, capsys):
+    """The cleanup tree is the reference under another name, and holds it again; only the copy beside it may go."""
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r/f").write_text("same")
+    (tmp_path / "copy").write_text("same")
+    os.symlink(tmp_path / "r", tmp_path / "link")
+    monkeypatch.setattr("sys.stdin", io.StringIO("y\n"))
+    cli.main(["dedup", "--reference", str(tmp_path / "link"), "--cleanup", str(tmp_path / "r"), "--cleanup", str(tmp_path), "--cleanup", str(tmp_path / "link")])
+    assert (tmp_path / "r/f").exists() and not (tmp_path / "copy").exists()
+    with pytest.raises(ValueError):
+        cli.main(["dedup", "--reference", "", "--cleanup", str(tmp_path)])
+
+
 def test_files_are_written_side_by_side(spark, many_parts, tmp_path, monkeypatch):
     rng = random.Random(10)
     words = ["".join(rng.choices("abé😀" + chr(0xEFFF), k=rng.randint(0, 40))) for _ in range(5000)] * 2
