@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Of text that a Python worker holds at a time, unless the session says otherwise.
+BATCH_BYTES = 8 << 20
 # Fixed values.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROW = "_arbora_row"
@@ -12,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Limits Arrow batches by bytes from now on: 10,000 whole texts at a time are too many for a worker. A session that has set the limit keeps it."""
+    key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key) == usual:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character untouched."""
     return F.translate(text, UPPER, LOWER)

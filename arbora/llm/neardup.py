@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import row_key, table
+from arbora.llm.common import row_key, small_batches, table
 from arbora.llm.components import components
 from arbora.llm.shingles import Minwise, common, exact_sets, shingle_sets
 from arbora.staging import stage
@@ -423,6 +423,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, key (row key), n_shingles, component_id for each row with (doc_id, text). threshold: in hundredths."""
     limits = _Limits(threshold)
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", row_key().alias("key"), "text")
     schema = "doc_id long, key binary, n long, fp binary, tokens array<long>, sketch binary"
     members = stage(rows.mapInArrow(_describe(limits), schema), "sets")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import table
+from arbora.llm.common import small_batches, table
 from arbora.llm.samples import fold, labelled
 
 ORDER, DECAY, SPAN, LANDMARKS, PER_CLASS, FOLDS = 3, 0.75, 7, 112, 1000, 5
@@ -393,6 +393,7 @@ def choose(sample: list[tuple[str, int]], words: tuple[float, ...], rare: tuple[
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, per_class: int = PER_CLASS) -> Model | None:
     """Fit on labelled documents outside fold 0."""
+    small_batches(docs.sparkSession)
     train_rows = fold(F.col("doc_id"), folds) != 0
     share = labels.filter(train_rows).agg(F.avg("toxic")).first()[0]
     return fit(labelled(docs, labels, "toxic", train_rows, per_class), share)
