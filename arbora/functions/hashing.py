@@ -130,7 +130,12 @@ def with_probe(files: DataFrame, path: str = "raw_path") -> DataFrame:
 
 
 def hash_matching(mine: DataFrame, others: DataFrame, hasher: Callable[[DataFrame], DataFrame] = with_file_hash) -> tuple[DataFrame, DataFrame]:
-    """Both with `hash`, which stays null where no file of the other side has the same ends: nothing there can be equal."""
+    """Both with `hash`, which stays null where no file of the other side has the same ends: nothing there can be equal.
+
+    Entries without raw_path aren't files; they are left to hasher as they are.
+    """
+    if "raw_path" not in mine.columns or "raw_path" not in others.columns:
+        return hasher(mine), hasher(others)
     probed = [stage(with_probe(d), "probes") for d in (mine, others)]
     out = []
     for own, other in (probed, probed[::-1]):

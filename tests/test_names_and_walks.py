@@ -199,6 +199,14 @@ def test_ends_are_read_before_files_are(spark, tmp_path):
     assert hashing.probe_file(str(tmp_path / "none")) == (None, None)
 
 
+def test_entries_of_a_table_take_any_hasher(spark):
+    files = lambda *rows: spark.createDataFrame([(f"/{r}", r, 1, t) for r, t in rows], "abs string, rel string, size long, text string")
+    a, b = files(("x", "1"), ("y", "2")), files(("z", "1"), ("y", "3"))
+    by_text = lambda df: df.withColumn("hash", hashing.content_hash(F.col("text")))
+    diff = compare.compare_trees(a, b, "strict", "all", by_text)
+    assert sorted((r.side, r.rel) for r in diff.collect()) == [("a", "y"), ("b", "y")]
+
+
 def plain_glob(glob, name):
     """Whether the whole name matches, straight from the rules; an error if the glob is a bad one."""
 
