@@ -70,14 +70,6 @@ def test_labels_are_matched_better_than_by_host_alone(spark):
     assert right["template"] > right["host"]
 
 
-def test_the_threshold_is_the_one_of_fewest_errors(spark):
-    """Of labelled URLs, each judged without the labels of its fold."""
-    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
-    best, errors = urls.fit_threshold(pages)
-    assert errors[round(urls.THRESHOLD * 20)] == min(errors) < min(errors[0], errors[-1])
-    assert abs(best - urls.THRESHOLD) <= 0.25
-
-
 def test_thresholds_are_fitted_without_a_url_s_own_label(spark):
     pages = [(i, f"http://x.com/{'de' if i % 2 else 'fr'}/p{i}") for i in range(200)] + [(900 + i, f"http://y.net/z/{i}") for i in range(50)]
     df = spark.createDataFrame(pages, "page_id long, url string")
